@@ -51,11 +51,16 @@ def fill_nulls(df: DataFrame) -> DataFrame:
     return df.fillna(0, numbers).fillna("0", texts)
 
 
-def conform(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Exactly the listed features, in order, as numbers; missing columns are 0."""
+def conform(
+    df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), prefix: str = ""
+) -> DataFrame:
+    """Exactly the listed features, in order, as numbers; missing columns are 0.
+
+    ``keep`` lists further columns to carry along unchanged.
+    """
     present = set(df.columns)
     columns = [
-        (coerce_number(f) if f in present else F.lit(0.0)).alias(f) for f in features
+        (coerce_number(f) if f in present else F.lit(0.0)).alias(prefix + f) for f in features
     ]
     return df.select(*[as_column(k) for k in keep], *columns)
 
@@ -185,6 +190,7 @@ def tree_features(
     academy: str = "academie",
     value: str = "moy_gle",
     keep: Sequence[str] = (),
+    prefix: str = "",
 ) -> DataFrame:
     """Inputs of the decision trees.
 
@@ -203,13 +209,13 @@ def tree_features(
         df = df.withColumns({c: F.lit(0) for c in present}) if present else df
     else:
         # Codes come first here, so a missing academy is a group of its own.
-        if has_mean and "academie_perf" in stats.means:
+        if has_mean and "academie_perf" in stats.means and "academie_perf" in features:
             df = df.withColumn("__academy", label_text(academy))
             means = stats.means["academie_perf"].withColumnRenamed(academy, "__academy")
             df = map_group_mean(df, means, ["__academy"], "academie_perf").drop("__academy")
         if stats.codes is not None:
-            df = apply_label_codes(df, stats.codes, present)
-    out = conform(df, features, list(kept.values()))
+            df = apply_label_codes(df, stats.codes, [c for c in present if c in features])
+    out = conform(df, features, list(kept.values()), prefix)
     return out.withColumnsRenamed({v: k for k, v in kept.items()})
 
 
@@ -235,6 +241,7 @@ def linear_features(
     residence: str = "residence",
     value: str = "moy_gle",
     keep: Sequence[str] = (),
+    prefix: str = "",
 ) -> DataFrame:
     """Inputs of a linear model: S1 flag, group means, then the listed features.
 
@@ -249,7 +256,7 @@ def linear_features(
             df = df.withColumn(out, F.when(as_column(key).isNotNull(), as_column(value)))
         elif out in stats.means:
             df = map_group_mean(df, stats.means[out], [key], out)
-    return conform(df, features, keep)
+    return conform(df, features, keep, prefix)
 
 
 def baseline_prediction(df: DataFrame, source: str = "score_dap", out: str = "Score_Predit") -> DataFrame:

@@ -142,16 +142,22 @@ def nest_regions(
     order, on further pages, and an academy may be split over two of them, so
     no row grows with the data.
     """
+    tops = regions.select(F.col("id").alias("region_id"), F.col("name").alias("region"))
+    middles = academies.select(
+        F.col("id").alias("academie_id"), F.col("name").alias("academie"), "region_id"
+    )
+    bottoms = residences.select(
+        F.col("id").alias("residence_id"), F.col("name").alias("residence"), "academie_id"
+    )
+    # The many children drive inner joins, whose skew adaptive execution can
+    # split on either side; parents without children are added apart.
+    bare_middles = middles.join(bottoms.select("academie_id").distinct(), "academie_id", "left_anti")
+    bare_tops = tops.join(middles.select("region_id").distinct(), "region_id", "left_anti")
     leaves = (
-        regions.select(F.col("id").alias("region_id"), F.col("name").alias("region"))
-        .join(
-            academies.select("region_id", F.col("id").alias("academie_id"), F.col("name").alias("academie")),
-            "region_id", "left",
-        )
-        .join(
-            residences.select("academie_id", F.col("id").alias("residence_id"), F.col("name").alias("residence")),
-            "academie_id", "left",
-        )
+        bottoms.join(middles, "academie_id")
+        .unionByName(bare_middles, allowMissingColumns=True)
+        .join(tops, "region_id")
+        .unionByName(bare_tops, allowMissingColumns=True)
     )
     numbered = number_rows(leaves, ["region_id", "academie_id", "residence_id"], "__n")
     first = numbered.groupBy("region_id").agg(F.min("__n").alias("__first"))
@@ -196,7 +202,9 @@ def children_of_parents(wanted: DataFrame, parents: DataFrame, children: DataFra
     kids = children.select(
         as_column(parent_key).alias("id"), F.col("id").alias("child_id"), F.col("name").alias("child_name")
     )
-    return known.join(kids, "id", "left").withColumnRenamed("id", "parent_id")
+    bare = known.join(kids.select("id").distinct(), "id", "left_anti")
+    found = kids.join(known, "id").unionByName(bare, allowMissingColumns=True)
+    return found.withColumnRenamed("id", "parent_id")
 
 
 def unknown_parents(wanted: DataFrame, parents: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,37 @@ class Cascade:
         if missing:
             raise ValueError(f"missing trees: {sorted(missing)}")
 
+    def tree_inputs(self) -> list[str]:
+        return sorted({name for tree in self.trees.values() for name in split_features(tree)})
+
+    def model_inputs(self) -> list[str]:
+        return sorted({name for model in self.models.values() for name in model.features})
+
+    def prefixed(self, tree_prefix: str, model_prefix: str) -> Cascade:
+        """The same cascade over renamed inputs."""
+        trees = {k: prefix_tree(t, tree_prefix) for k, t in self.trees.items()}
+        models = {
+            k: LinearModel(
+                m.intercept, tuple(replace(t, feature=model_prefix + t.feature) for t in m.terms)
+            )
+            for k, m in self.models.items()
+        }
+        return Cascade(trees, models)
+
+
+def split_features(node: Split | int) -> set[str]:
+    if isinstance(node, int):
+        return set()
+    return {node.feature} | split_features(node.left) | split_features(node.right)
+
+
+def prefix_tree(node: Split | int, prefix: str) -> Split | int:
+    if isinstance(node, int):
+        return node
+    return Split(
+        prefix + node.feature, node.threshold, prefix_tree(node.left, prefix), prefix_tree(node.right, prefix)
+    )
+
 
 def tree_decision(node: Split | int) -> Column:
     """The 0/1 answer of a tree as one nested conditional."""
