@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Statuses of the cascade.
 NON_ADMIS = "NON ADMIS"
@@ -59,15 +60,31 @@ def as_column(value: Column | str) -> Column:
     return F.col("`" + value.replace("`", "``") + "`") if isinstance(value, str) else value
 
 
-def clean_number(value: Column | str) -> Column:
-    """Text to number: trimmed, null when it is not one."""
-    return F.trim(as_column(value).cast("string")).try_cast("double")
+def parse_number(text: Column | str) -> Column:
+    """Text to number, spaces around it ignored; null when it is not one.
 
+    A cast alone would also take the type suffixes and hexadecimal of Java.
+    """
+    trimmed = F.trim(as_column(text))
+    return F.when(~trimmed.rlike("[0-9.][dDfF]$|[xX]"), trimmed.try_cast("double"))
 
-def coerce_number(value: Column | str) -> Column:
-    """Any value to a number; what is not one (or is NaN) becomes 0."""
-    number = as_column(value).cast("string").try_cast("double")
-    return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
+
+def number(df: DataFrame, name: str) -> Column:
+    """A column of the frame as a number; only text columns are parsed."""
+    if isinstance(df.schema[name].dataType, StringType):
+        return parse_number(name)
+    return as_column(name).try_cast("double")
+
+
+def number_or_zero(df: DataFrame, name: str) -> Column:
+    """A column of the frame as a number; null, NaN and unparsable text become 0."""
+    return F.coalesce(F.nanvl(number(df, name), F.lit(0.0)), F.lit(0.0))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Round to the nearest, exact halves to the even digit."""
+    power = F.lit(10.0**digits)
+    return F.rint(value * power) / power
 
 
 def equals_flag(value: Column | str, expected: str) -> Column:

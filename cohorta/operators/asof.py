@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohorta.functions.scalar import clean_number
+from cohorta.functions.scalar import number
 from cohorta.operators.slicing import slice_count, value_slices
 
 # Up to this many distinct scores the table travels to the executors as cut points.
@@ -36,8 +36,8 @@ def asof_lookup(
     """
     points = (
         table.select(
-            clean_number(table_score).alias("__point"),
-            clean_number(table_value).cast("long").alias("__value"),
+            number(table, table_score).alias("__point"),
+            number(table, table_value).cast("long").alias("__value"),
         )
         .where(F.col("__point").isNotNull() & ~F.isnan("__point"))
         .groupBy("__point")
@@ -45,7 +45,7 @@ def asof_lookup(
     )
     if miss is not None:
         points = points.na.fill(miss, ["__value"])
-    probes = probes.withColumn("__probe", clean_number(probe_score))
+    probes = probes.withColumn("__probe", number(probes, probe_score))
     head = points.limit(small_rows + 1).collect()
     if len(head) <= small_rows:
         found = _by_cut_points(probes, sorted((r["__point"], r["__value"]) for r in head))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohorta import schema
-from cohorta.functions.scalar import as_column, coerce_number, equals_flag
+from cohorta.functions.scalar import as_column, equals_flag, number_or_zero
 from cohorta.operators.slicing import number_rows
 
 Flags = Mapping[str, Mapping[str, str]]
@@ -60,7 +60,8 @@ def conform(
     """
     present = set(df.columns)
     columns = [
-        (coerce_number(f) if f in present else F.lit(0.0)).alias(prefix + f) for f in features
+        (number_or_zero(df, f) if f in present else F.lit(0.0)).alias(prefix + f)
+        for f in features
     ]
     return df.select(*[as_column(k) for k in keep], *columns)
 

@@ -17,6 +17,7 @@ from cohorta.functions.scalar import (
     STATUS_SHIFTS,
     as_column,
     lookup,
+    rounded,
 )
 from cohorta.operators.features import require_columns
 
@@ -161,7 +162,7 @@ def score_batch(
     for key, model in cascade.models.items():
         score = F.when(F.col("__route") == key, linear_score(model)).otherwise(score)
     if digits is not None:
-        score = F.round(score, digits)
+        score = rounded(score, digits)
     status = F.lit(None).cast("string")
     for key in cascade.models:
         status = F.when(F.col("__route") == key, F.lit(MODEL_STATUS[key])).otherwise(status)
@@ -187,7 +188,7 @@ def global_linear_score(
 ) -> DataFrame:
     """One linear model for all rows; its features must all be present."""
     score = linear_score(model)
-    score = F.round(score, digits) if digits is not None else score
+    score = rounded(score, digits) if digits is not None else score
     return require_columns(df, model.features).withColumn(out, score)
 
 
@@ -219,7 +220,7 @@ def score_with_model_table(
         z = (as_column(name) - F.col(f"__mean{i}")) / F.col(f"__scale{i}")
         coef = F.col(f"__coef{i}")
         score = score + F.when(coef.isNull(), F.lit(0.0)).otherwise(coef * z)
-    score = F.round(score, digits) if digits is not None else score
+    score = rounded(score, digits) if digits is not None else score
     return joined.withColumn(out, score).drop(*[c for c in wide.columns if c.startswith("__")])
 
 

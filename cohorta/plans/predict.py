@@ -23,6 +23,7 @@ from cohorta.functions.scalar import (
     lookup,
     normalise_score,
     orientation_percentage,
+    rounded,
     score_percentage,
     success_percentage,
 )
@@ -76,12 +77,12 @@ def success_probability_v1(
     serie_bonus = lookup(serie, SERIE_BONUSES) if bonuses else F.lit(0.0)
     probability = success_percentage(base, percentage, mention_bonus + serie_bonus, cap)
     return scored.withColumns({
-        "probability": F.round(probability, 2),
-        "normalised_score": F.round(normalised, 2),
-        "score_percentage": F.round(percentage, 2),
-        "base_probability": F.round(base * F.lit(100.0), 2),
-        "mention_bonus": F.round(mention_bonus * F.lit(100.0), 2),
-        "serie_bonus": F.round(serie_bonus * F.lit(100.0), 2),
+        "probability": rounded(probability, 2),
+        "normalised_score": rounded(normalised, 2),
+        "score_percentage": rounded(percentage, 2),
+        "base_probability": rounded(base * F.lit(100.0), 2),
+        "mention_bonus": rounded(mention_bonus * F.lit(100.0), 2),
+        "serie_bonus": rounded(serie_bonus * F.lit(100.0), 2),
     })
 
 

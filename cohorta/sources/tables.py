@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorta import schema
-from cohorta.functions.scalar import as_column, clean_number
+from cohorta.functions.scalar import as_column, parse_number
 from cohorta.operators.features import cohort_prep, stack_cohorts
 from cohorta.operators.slicing import number_rows
 
@@ -57,7 +57,7 @@ def read_csv_table(
     for name, kind in fields:
         value = F.when(~F.col(f"`{name}`").isin(*MISSING_TEXTS), F.col(f"`{name}`"))
         if kind != "string":
-            value = clean_number(value).cast(kind)
+            value = parse_number(value).cast(kind)
         columns.append(value.alias(name))
     if row_id is None:
         return raw.select(*columns)
