@@ -27,10 +27,9 @@ def rank_error(truth: Column, predicted: Column) -> tuple[Column, Column]:
     return F.sqrt(rmse), rmse
 
 
-def reciprocal_ranks(predicted: Column, result: Column) -> tuple[Column, Column]:
+def reciprocal_ranks(predicted: Column, passed: Column, admitted: Column) -> tuple[Column, Column]:
     """Sums of reciprocal ranks: over passes, and over all but the not admitted."""
-    strict = F.sum(F.when(result == PASSE, F.lit(1.0) / predicted))
-    admitted = ~result.eqNullSafe(F.lit(NON_ADMIS))
+    strict = F.sum(F.when(passed, F.lit(1.0) / predicted))
     loose = F.sum(F.when(admitted, F.lit(1.0) / predicted))
     return F.coalesce(strict, F.lit(0.0)), F.coalesce(loose, F.lit(0.0))
 
@@ -56,35 +55,45 @@ def rank_all(
         F.struct(F.lit(name).alias("series"), as_column(c).cast("double").alias("score"))
         for name, c in series.items()
     ])
-    names = {cohort: "cohort", row_id: "row_id", result: "result"}
-    base = df.select(*[as_column(c).alias(n) for c, n in names.items()], F.inline(pairs))
-    long = materialize(base, "scores")
+    outcome = as_column(result)
+    base = df.select(
+        as_column(cohort).alias("cohort"),
+        as_column(row_id).alias("row_id"),
+        F.coalesce(outcome == PASSE, F.lit(False)).alias("passed"),
+        (~outcome.eqNullSafe(F.lit(NON_ADMIS))).alias("admitted"),
+        F.inline(pairs),
+    )
     ranked = add_ranks(
-        long, "score", "row_id", by=["series", "cohort"], methods=methods, slices=slices
+        materialize(base, "scores"), "score", "row_id", by=["series", "cohort"], methods=methods, slices=slices
     )
-    # Rank columns of the series meet again per applicant; (cohort, row_id) is unique.
-    ranks = F.struct(*[F.col(f"rank_{m}").cast("double").alias(m) for m in methods])
+    # The series meet again per applicant: (cohort, row_id) is unique.  All
+    # buffers are of fixed width, which keeps this a hash aggregation.
     wide = ranked.groupBy("cohort", "row_id").agg(
-        F.first("result").alias("result"),
-        *[F.max(F.when(F.col("series") == s, ranks)).alias(f"s{i}") for i, s in enumerate(series)],
+        F.max("passed").alias("passed"),
+        F.max("admitted").alias("admitted"),
+        *[
+            F.max(F.when(F.col("series") == s, F.col(f"rank_{m}").cast("double"))).alias(f"s{i}_{m}")
+            for i, s in enumerate(series)
+            for m in methods
+        ],
     )
     cells = [
         F.struct(
             F.lit(model).alias("model"),
             F.lit(method).alias("method"),
-            F.col("s0")[method].alias("true_rank"),
-            F.col(f"s{i}")[method].alias("predicted_rank"),
+            F.col(f"s0_{method}").alias("true_rank"),
+            F.col(f"s{i}_{method}").alias("predicted_rank"),
         )
         for i, model in enumerate(scores, start=1)
         for method in methods
     ]
-    return wide.select("cohort", "row_id", "result", F.inline(F.array(*cells)))
+    return wide.select("cohort", "row_id", "passed", "admitted", F.inline(F.array(*cells)))
 
 
 def measure(ranked: DataFrame, by: Sequence[str] = ("model", "method", "cohort")) -> DataFrame:
     """Metrics per group of ranked pairs."""
     error, rmse = rank_error(F.col("true_rank"), F.col("predicted_rank"))
-    strict, loose = reciprocal_ranks(F.col("predicted_rank"), F.col("result"))
+    strict, loose = reciprocal_ranks(F.col("predicted_rank"), F.col("passed"), F.col("admitted"))
     paired = F.col("true_rank").isNotNull() & F.col("predicted_rank").isNotNull()
     return ranked.groupBy(*by).agg(
         error.alias("rank_error"),

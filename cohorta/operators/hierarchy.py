@@ -110,11 +110,16 @@ def append_entries(
         checked = incoming.join(known, parent_key, "left").withColumn(
             "__orphan", F.col("__known").isNull()
         ).drop("__known")
-    taken = existing.select("name").distinct().withColumn("__taken", F.lit(True))
-    checked = checked.join(taken, "name", "left")
-    open_rows = checked.where(~F.col("__orphan") & F.col("__taken").isNull())
-    first = open_rows.groupBy("name").agg(F.min(order_by).alias("__first"))
-    checked = checked.join(first, "name", "left")
+    # One row per name says both whether it is taken and who comes first, so a
+    # much repeated name is met in a single join.
+    stored = existing.select("name", F.lit(True).alias("__taken"), F.lit(None).alias("__seq"))
+    asking = checked.where(~F.col("__orphan")).select(
+        "name", F.lit(False).alias("__taken"), F.col(order_by).alias("__seq")
+    )
+    facts = stored.union(asking).groupBy("name").agg(
+        F.max("__taken").alias("__taken"), F.min("__seq").alias("__first")
+    )
+    checked = checked.join(facts, "name", "left")
     reason = (
         F.when(F.col("__orphan"), "unknown_parent")
         .when(F.col("__taken"), "name_exists")
@@ -145,7 +150,7 @@ def nest_regions(
     tops = regions.select(F.col("id").alias("region_id"), F.col("name").alias("region"))
     middles = academies.select(
         F.col("id").alias("academie_id"), F.col("name").alias("academie"), "region_id"
-    )
+    ).join(tops, "region_id")
     bottoms = residences.select(
         F.col("id").alias("residence_id"), F.col("name").alias("residence"), "academie_id"
     )
@@ -156,7 +161,6 @@ def nest_regions(
     leaves = (
         bottoms.join(middles, "academie_id")
         .unionByName(bare_middles, allowMissingColumns=True)
-        .join(tops, "region_id")
         .unionByName(bare_tops, allowMissingColumns=True)
     )
     numbered = number_rows(leaves, ["region_id", "academie_id", "residence_id"], "__n")
@@ -164,7 +168,8 @@ def nest_regions(
     paged = numbered.join(first, "region_id").withColumn(
         "page", F.floor((F.col("__n") - F.col("__first")) / F.lit(page_rows))
     )
-    by_academy = paged.groupBy("region_id", "region", "page", "academie_id", "academie").agg(
+    # Spread by page, not by region, before the names are collected.
+    by_academy = paged.repartition("region_id", "page").groupBy("region_id", "region", "page", "academie_id", "academie").agg(
         F.collect_list(F.when(F.col("residence").isNotNull(), F.struct("residence_id", "residence"))).alias("__rows")
     )
     entry = F.struct(

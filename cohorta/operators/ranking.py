@@ -30,6 +30,8 @@ def add_ranks(
     ``row_id`` (a unique number).  A null or NaN score keeps a null rank and the
     row stays.  No task ever holds a whole group: a group is ranked slice by
     slice, and a score shared by very many rows is split further by ``row_id``.
+    The input is read three times (slice bounds, slice sizes, rows), so write a
+    costly one to a table first.
     """
     unknown = set(methods) - set(TIE_METHODS)
     if unknown:

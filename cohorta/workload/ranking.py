@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohorta.operators import ranking as R
 from cohorta.operators.asof import asof_lookup
+from cohorta.scratch import materialize
 from cohorta.workload.registry import query
 from cohorta.workload.tables import APPLICANTS, applicants, table
 
@@ -58,7 +59,8 @@ CASE WHEN score_l1 IS NOT NULL THEN rank() OVER (PARTITION BY cohort, score_l1 I
  + (count(*) OVER (PARTITION BY cohort, score_l1) - 1) / 2.0::DOUBLE END AS rank_average FROM applicants""")
 def rank_nulls(spark, sf_dir):
     """Applicants without a score keep a null rank."""
-    df = applicants(spark, sf_dir, ["row_id", "cohort", "score_l1"])
+    # Ranking reads its input more than once: write the joined scores first.
+    df = materialize(applicants(spark, sf_dir, ["row_id", "cohort", "score_l1"]), "scores")
     return R.add_ranks(df, "score_l1", "row_id", by=["cohort"], methods=("average",))
 
 

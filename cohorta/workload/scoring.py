@@ -17,7 +17,7 @@ from cohorta.functions.scalar import (
 from cohorta.operators import scoring as M
 from cohorta.plans import fit, predict
 from cohorta.plans.predict import score_applicants
-from cohorta.scratch import scratch_path
+from cohorta.scratch import materialize, scratch_path
 from cohorta.sources.models import linear_table, load_cascade, tree_table
 from cohorta.sources.tables import read_model_tables, write_model_tables
 from cohorta.streaming.score import read_arrivals, read_scored, score_stream
@@ -136,7 +136,7 @@ def cohort_models(df, intercepts):
                  F.lit(25.0).alias("mean"), F.lit(10.0).alias("scale")),
     )
     per_route = stats.select("cohort", terms.alias("terms"), F.inline(keys))
-    return per_route.select("cohort", "model_key", "intercept", F.inline("terms"))
+    return materialize(per_route.select("cohort", "model_key", "intercept", F.inline("terms")), "models")
 
 
 @query(f"""WITH {APPLICANTS}, {COHORT_MODELS}
@@ -155,7 +155,7 @@ def status_adjust(spark, sf_dir):
     return M.adjust_by_status(scored(spark, sf_dir)).select("row_id", "Prediction_Status", "Score_Predit")
 
 
-@query(f"""WITH {SCORED} SELECT row_id, score, least(20.0, score / 120.0 * 20.0) AS normalised FROM scored""")
+@query(f"""WITH {SCORED} SELECT row_id, score, least(20.0, score / 120.0 * 20.0) AS normalised FROM scored""", name="normalise_score")
 def normalise_scores(spark, sf_dir):
     return scored(spark, sf_dir).select(
         "row_id", F.col("Score_Predit").alias("score"), normalise_score("Score_Predit").alias("normalised")
@@ -314,7 +314,7 @@ def stream_score(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     # A pattern: the table may be one file or a folder of files.
     arrivals = read_arrivals(spark, f"{sf_dir}/events.parquet*", events.schema)
-    ranks = rank_reference(spark, sf_dir)
+    ranks = materialize(rank_reference(spark, sf_dir), "ranks")
 
     def score(batch):
         named = batch.select(F.col("event_id").alias("row_id"), F.col("value").alias("score"))
