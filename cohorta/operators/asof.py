@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.functions.scalar import number
 from cohorta.operators.slicing import slice_count, value_slices
+from cohorta.scratch import materialize
 
 # Up to this many distinct scores the table travels to the executors as cut points.
 SMALL_TABLE_ROWS = 100_000
@@ -46,9 +48,10 @@ def asof_lookup(
     if miss is not None:
         points = points.na.fill(miss, ["__value"])
     probes = probes.withColumn("__probe", number(probes, probe_score))
-    head = points.limit(small_rows + 1).collect()
-    if len(head) <= small_rows:
-        found = _by_cut_points(probes, sorted((r["__point"], r["__value"]) for r in head))
+    # Written once: its size decides the way, and either way reads it again.
+    points = materialize(points, "points")
+    if points.count() <= small_rows:
+        found = _by_cut_points(probes, points)
     else:
         found = _by_slices(probes, points, row_id, slice_count(probes.sparkSession, slices))
     return found.withColumn(out, _answer(miss)).drop("__probe", "__found")
@@ -63,30 +66,34 @@ def _answer(miss: int | None) -> Column:
     )
 
 
-def _by_cut_points(probes: DataFrame, points: list[tuple[float, int | None]]) -> DataFrame:
+def _by_cut_points(probes: DataFrame, points: DataFrame) -> DataFrame:
     """A bucket [score, next score) is exactly "greatest score at or below"."""
-    if not points:
-        return probes.withColumn("__found", F.lit(None).cast("long"))
-    inner = [p for p in points if math.isfinite(p[0])]
-    lowest = [v for p, v in points if p == -math.inf]
-    splits = [-math.inf, *[p for p, _ in inner], math.inf]
-    values = [lowest[0] if lowest else None, *[v for _, v in inner]]
-    highest = [v for p, v in points if p == math.inf]
-    if len(splits) < 3:
+    known = points.toPandas().sort_values("__point", ignore_index=True)
+    inner = known[known["__point"].map(math.isfinite)]
+    if inner.empty:
         probes = probes.withColumn("__bucket", F.lit(0.0))
     else:
         cut = Bucketizer(
-            splits=splits, inputCol="__probe", outputCol="__bucket", handleInvalid="keep"
+            splits=[-math.inf, *inner["__point"], math.inf],
+            inputCol="__probe",
+            outputCol="__bucket",
+            handleInvalid="keep",
         )
         probes = cut.transform(probes)
-    buckets = probes.sparkSession.createDataFrame(
-        [(float(i), v) for i, v in enumerate(values)], "__bucket double, __found long"
+    # The bucket's number is the place of its lower bound; -inf, if in the table, is the lowest.
+    inner = inner.assign(__bucket=range(1, len(inner) + 1))
+    lowest = known[known["__point"] == -math.inf].assign(__bucket=0)
+    buckets = pd.concat([lowest, inner])[["__bucket", "__value"]].rename(columns={"__value": "__found"})
+    table = probes.sparkSession.createDataFrame(
+        buckets.astype({"__bucket": "float64", "__found": "Int64"}), "__bucket double, __found long"
     )
-    # At most small_rows + 1 rows, checked by the caller.
-    found = probes.join(F.broadcast(buckets), "__bucket", "left").drop("__bucket")
-    if highest:
-        top = F.when(F.col("__probe") == math.inf, F.lit(highest[0]).cast("long"))
-        found = found.withColumn("__found", F.coalesce(top, F.col("__found")))
+    # At most as many rows as the caller found the table to have.
+    found = probes.join(F.broadcast(table), "__bucket", "left").drop("__bucket")
+    for top in known.loc[known["__point"] == math.inf, "__value"]:
+        value = F.lit(None if pd.isna(top) else int(top)).cast("long")
+        found = found.withColumn(
+            "__found", F.when(F.col("__probe") == math.inf, value).otherwise(F.col("__found"))
+        )
     return found
 
 

@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohorta.functions.scalar import as_column
-from cohorta.operators.scoring import MODEL_STATUS, Cascade, LinearModel, Split, Term
+from cohorta.operators.scoring import TREE_KEYS, Cascade, LinearModel, Split, Term
+from cohorta.scratch import materialize
 
 
 def fit_tree(
@@ -44,19 +45,26 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip").transform(present)
 
 
+def column_stats(rows: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> list:
+    """Row count, and mean and population deviation of each feature, per group."""
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(as_column(f)).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.stddev_pop(as_column(f)).alias(f"s{i}") for i, f in enumerate(features)],
+    ).collect()
+
+
 def fit_linear(
     df: DataFrame,
     features: Sequence[str],
     target: str,
     penalty: float = 0.01,
     max_iter: int = 50,
+    stats: Row | None = None,
 ) -> LinearModel:
     """Standardised lasso: population mean and deviation, L1 penalty."""
     rows = df.where(as_column(target).isNotNull())
-    stats = rows.agg(
-        *[F.avg(as_column(f)).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(as_column(f)).alias(f"s{i}") for i, f in enumerate(features)],
-    ).first()
+    stats = stats or column_stats(rows, features)[0]
     means = [stats[f"m{i}"] or 0.0 for i in range(len(features))]
     # A constant feature has deviation 0 and is left unscaled.
     scales = [stats[f"s{i}"] or 1.0 for i in range(len(features))]
@@ -87,25 +95,37 @@ def fit_cascade(
 
     ``labels`` gives the 0/1 label of each tree: ``admission`` for every row,
     ``session`` among the admitted, ``mention`` among first-session passes.  A
-    status without rows gets no model.
+    status without rows gets no model.  The training columns are written once,
+    since every fit passes over them several times.
     """
     admitted = labels["admission"] == 1
     first_session = admitted & (labels["session"] == 1)
+    route = (
+        F.when(labels["admission"] == 0, "non_admi")
+        .when(admitted & (labels["session"] == 0), "deuxieme_session")
+        .when(first_session & (labels["mention"] == 0), "passable")
+        .when(first_session & (labels["mention"] == 1), "mention")
+    )
+    inputs = sorted({*tree_inputs, *model_inputs})
+    training = materialize(
+        df.select(
+            *[as_column(f) for f in inputs],
+            as_column(target).alias("__target"),
+            route.alias("__route"),
+            labels["admission"].alias("__admission"),
+            F.when(admitted, labels["session"]).alias("__session"),
+            F.when(first_session, labels["mention"]).alias("__mention"),
+        ),
+        "training",
+    )
     trees = {
-        "admission": fit_tree(df, tree_inputs, labels["admission"], **tree_options),
-        "session": fit_tree(df, tree_inputs, F.when(admitted, labels["session"]), **tree_options),
-        "mention": fit_tree(df, tree_inputs, F.when(first_session, labels["mention"]), **tree_options),
-    }
-    groups = {
-        "non_admi": ~admitted,
-        "deuxieme_session": admitted & (labels["session"] == 0),
-        "passable": first_session & (labels["mention"] == 0),
-        "mention": first_session & (labels["mention"] == 1),
+        key: fit_tree(training, tree_inputs, F.col(f"__{key}"), **tree_options) for key in TREE_KEYS
     }
-    sizes = df.where(as_column(target).isNotNull()).agg(
-        *[F.count(F.when(rows, 1)).alias(key) for key, rows in groups.items()]
-    ).first()
+    known = training.where(F.col("__target").isNotNull() & F.col("__route").isNotNull())
     models = {
-        key: fit_linear(df.where(groups[key]), model_inputs, target) for key in MODEL_STATUS if sizes[key]
+        row["__route"]: fit_linear(
+            known.where(F.col("__route") == row["__route"]), model_inputs, "__target", stats=row
+        )
+        for row in column_stats(known, model_inputs, ["__route"])
     }
     return Cascade(trees, models)
