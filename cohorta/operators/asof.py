@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohorta.functions.scalar import number
+from cohorta.functions.scalar import as_column, number
 from cohorta.operators.slicing import slice_count, value_slices
 from cohorta.scratch import materialize
 
@@ -126,7 +126,7 @@ def _by_slices(probes: DataFrame, points: DataFrame, row_id: str, count: int) ->
         "__slice", F.last("__last", ignorenulls=True).over(below).alias("__carried")
     )
 
-    columns = [F.col(f"`{c}`") for c in probes.columns]
+    columns = [as_column(c) for c in probes.columns]
     both = asked.select(
         "__slice", "__piece", F.col("__probe").alias("__at"), F.lit(1).alias("__is_probe"),
         F.struct(*columns).alias("__row"),

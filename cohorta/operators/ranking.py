@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohorta.functions.scalar import as_column
 from cohorta.operators.slicing import number_rows, slice_count, value_slices
 
 TIE_METHODS = ("average", "first", "min", "max", "dense")
@@ -38,16 +41,16 @@ def add_ranks(
         raise ValueError(f"unknown tie methods: {sorted(unknown)}")
     count = slice_count(df.sparkSession, slices)
 
-    # A struct key is never null itself, so null group values join like any other.
-    rows = df.withColumn("__score", F.col(score).cast("double"))
+    rows = df.withColumn("__score", as_column(score).cast("double"))
     rows = rows.withColumn("__score", F.when(~F.isnan("__score"), F.col("__score")))
-    rows = rows.withColumn("__group", F.struct(F.lit(0).alias("_"), *[F.col(c) for c in by]))
+    group = [f"__by{i}" for i in range(len(by))]
+    rows = rows.withColumns({g: as_column(c) for g, c in zip(group, by)}) if by else rows
     cuts = value_slices(rows, "__score", count)
     rows = _add_piece(cuts.assign(rows, "__score", "__slice"), cuts, row_id, count)
 
-    starts = _cell_starts(rows, cuts, with_distinct="dense" in methods)
+    starts = _cell_starts(rows, group, cuts, with_distinct="dense" in methods)
 
-    cell = ["__group", "__slice", "__piece"]
+    cell = [*group, "__slice", "__piece"]
     in_order = Window.partitionBy(*cell).orderBy(F.desc("__score"), F.asc(row_id))
     by_score = Window.partitionBy(*cell).orderBy(F.desc("__score"))
     if "first" in methods:
@@ -59,19 +62,23 @@ def add_ranks(
     if "dense" in methods:
         rows = rows.withColumn("__dense", F.dense_rank().over(by_score))
 
-    rows = rows.join(starts, cell, "left")
-    low = F.col("__slice_start") + F.col("__rank")
+    # A null group is a group: its key has to meet its own kind.
+    starts = starts.withColumnsRenamed({c: f"{c}_start" for c in cell})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_start")) for c in group]
+    same += [F.col(c) == F.col(f"{c}_start") for c in ("__slice", "__piece")]
+    rows = rows.join(starts, reduce(and_, same), "left")
+    low = F.col("__slice_above") + F.col("__rank")
     ties = F.when(cuts.is_heavy("__slice"), F.col("__slice_rows")).otherwise(F.col("__peers"))
     ranks = {
         "average": lambda: low + (ties - 1) / F.lit(2.0),
-        "first": lambda: F.col("__cell_start") + F.col("__row"),
+        "first": lambda: F.col("__cell_above") + F.col("__row"),
         "min": lambda: low,
         "max": lambda: low + ties - 1,
-        "dense": lambda: F.col("__dense_start") + F.col("__dense"),
+        "dense": lambda: F.col("__dense_above") + F.col("__dense"),
     }
     ranked = F.col("__score").isNotNull()
     return rows.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[as_column(c) for c in df.columns],
         *[F.when(ranked, ranks[m]()).alias(prefix + m) for m in methods],
     )
 
@@ -92,12 +99,12 @@ def _add_piece(rows: DataFrame, cuts, row_id: str, count: int) -> DataFrame:
     ).drop("__id_slice")
 
 
-def _cell_starts(rows: DataFrame, cuts, with_distinct: bool) -> DataFrame:
+def _cell_starts(rows: DataFrame, group: list[str], cuts, with_distinct: bool) -> DataFrame:
     """Per (group, slice, piece): how many rows and scores rank above it.
 
     At most a few cells per slice and group, counted with map-side aggregation.
     """
-    cell = ["__group", "__slice", "__piece"]
+    cell = [*group, "__slice", "__piece"]
     scored = rows.where(F.col("__score").isNotNull())
     if with_distinct:
         scored = scored.groupBy(*cell, "__score").agg(F.count(F.lit(1)).alias("__n"))
@@ -107,19 +114,19 @@ def _cell_starts(rows: DataFrame, cuts, with_distinct: bool) -> DataFrame:
     else:
         sizes = scored.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
 
-    down = Window.partitionBy("__group").orderBy(F.desc("__slice"), F.asc("__piece"))
+    down = Window.partitionBy(*group).orderBy(F.desc("__slice"), F.asc("__piece"))
     above = down.rowsBetween(Window.unboundedPreceding, -1)
-    whole_slice = Window.partitionBy("__group", "__slice")
-    starts = sizes.withColumn("__cell_start", F.coalesce(F.sum("__n").over(above), F.lit(0)))
+    whole_slice = Window.partitionBy(*group, "__slice")
+    starts = sizes.withColumn("__cell_above", F.coalesce(F.sum("__n").over(above), F.lit(0)))
     if with_distinct:
         # The pieces of a frequent score share one distinct value: count it once.
         first_piece = F.row_number().over(whole_slice.orderBy("__piece")) == 1
         scores = F.when(cuts.is_heavy("__slice") & ~first_piece, 0).otherwise(F.col("__distinct"))
         starts = starts.withColumn("__scores", scores).withColumn(
-            "__dense_start", F.coalesce(F.sum("__scores").over(above), F.lit(0))
+            "__dense_above", F.coalesce(F.sum("__scores").over(above), F.lit(0))
         )
-        starts = starts.withColumn("__dense_start", F.min("__dense_start").over(whole_slice))
-    starts = starts.withColumn("__slice_start", F.min("__cell_start").over(whole_slice))
+        starts = starts.withColumn("__dense_above", F.min("__dense_above").over(whole_slice))
+    starts = starts.withColumn("__slice_above", F.min("__cell_above").over(whole_slice))
     starts = starts.withColumn("__slice_rows", F.sum("__n").over(whole_slice))
     return starts.drop("__n", "__distinct", "__scores")
 

@@ -54,7 +54,9 @@ class Slices:
             outputCol=out,
             handleInvalid="keep",
         )
-        return cut.transform(df).withColumn(out, F.col(out).cast("int"))
+        # The transformer passes nulls through.
+        index = F.coalesce(F.col(out).cast("int"), F.lit(self.count))
+        return cut.transform(df).withColumn(out, index)
 
     def is_heavy(self, slice_column: str) -> Column:
         return F.col(slice_column).isin(*self.heavy) if self.heavy else F.lit(False)
@@ -74,8 +76,9 @@ def value_slices(df: DataFrame, column: str, count: int) -> Slices:
     of its own, and as many pieces as the points it filled, plus one.  There
     are fewer than ``count`` such values, whatever the data.
     """
-    points = df.approxQuantile(column, [i / count for i in range(1, count)], 1 / (4 * count))
-    repeats = Counter(p for p in points if math.isfinite(p))
+    shares = [i / count for i in range(1, count)]
+    points = df.agg(F.percentile_approx(column, shares, 4 * count)).first()[0] or []
+    repeats = Counter(float(p) for p in points if math.isfinite(p))
     frequent = {p: n for p, n in repeats.items() if n > 1}
     after = (math.nextafter(p, math.inf) for p in frequent)
     bounds = tuple(sorted(set(repeats) | {p for p in after if math.isfinite(p)}))
