@@ -96,7 +96,7 @@ def read_hierarchy_documents(spark: SparkSession, path: str, one_per_file: bool
 
     ``doc`` orders the documents by file, and by line within a file.
     """
-    lines = spark.read.option("wholetext", one_per_file).text(path)
+    lines = spark.read.text(path, wholetext=one_per_file)
     place = [
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
