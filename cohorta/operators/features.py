@@ -132,7 +132,8 @@ def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = df.select(F.inline(pairs)).distinct()
     numbered = number_rows(values, ["column_name", "label"], "__n")
     first = numbered.groupBy("column_name").agg(F.min("__n").alias("__first"))
-    return numbered.join(first, "column_name").select(
+    # One row per coded column.
+    return numbered.join(F.broadcast(first), "column_name").select(
         "column_name", "label", (F.col("__n") - F.col("__first")).alias("code")
     )
 
