@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -118,14 +120,19 @@ def fit_cascade(
         ),
         "training",
     )
-    trees = {
-        key: fit_tree(training, tree_inputs, F.col(f"__{key}"), **tree_options) for key in TREE_KEYS
-    }
     known = training.where(F.col("__target").isNotNull() & F.col("__route").isNotNull())
-    models = {
-        row["__route"]: fit_linear(
-            known.where(F.col("__route") == row["__route"]), model_inputs, "__target", stats=row
-        )
-        for row in column_stats(known, model_inputs, ["__route"])
-    }
+    stats = {row["__route"]: row for row in column_stats(known, model_inputs, ["__route"])}
+
+    def tree(key: str) -> Split | int:
+        return fit_tree(training, tree_inputs, F.col(f"__{key}"), **tree_options)
+
+    def model(key: str) -> LinearModel:
+        return fit_linear(known.where(F.col("__route") == key), model_inputs, "__target", stats=stats[key])
+
+    # The fits are independent jobs over one stored table: let the cluster overlap them.
+    with ThreadPoolExecutor(len(TREE_KEYS) + len(stats)) as pool:
+        tree_jobs = {key: pool.submit(inheritable_thread_target(tree), key) for key in TREE_KEYS}
+        model_jobs = {key: pool.submit(inheritable_thread_target(model), key) for key in stats}
+        trees = {key: job.result() for key, job in tree_jobs.items()}
+        models = {key: job.result() for key, job in model_jobs.items()}
     return Cascade(trees, models)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohorta.functions.scalar import rounded
 from cohorta.operators.ranking import rank_table
@@ -15,8 +17,15 @@ GRADES = ("math", "scph", "fr", "an", "score_l1")
 PLACES = ("academie", "region_naissance", "residence", "etablissement", "centre", "score_dap")
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of a stored table, inferred once per session."""
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def applicants(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
