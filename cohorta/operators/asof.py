@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.functions.scalar import as_column, number
-from cohorta.operators.slicing import slice_count, value_slices
+from cohorta.operators.slicing import Slices, slice_count, value_slices
 from cohorta.scratch import materialize
 
-# Up to this many distinct scores the table travels to the executors as cut points.
+# Up to this many distinct scores the table travels to the executors.
 SMALL_TABLE_ROWS = 100_000
+# Buckets the steps of such a table are met by.
+BUCKETS = 512
 
 
 def asof_lookup(
@@ -50,8 +50,9 @@ def asof_lookup(
     probes = probes.withColumn("__probe", number(probes, probe_score))
     # Written once: its size decides the way, and either way reads it again.
     points = materialize(points, "points")
-    if points.count() <= small_rows:
-        found = _by_cut_points(probes, points)
+    size = points.count()
+    if size <= small_rows:
+        found = _by_broadcast(probes, points, size)
     else:
         found = _by_slices(probes, points, row_id, slice_count(probes.sparkSession, slices))
     return found.withColumn(out, _answer(miss)).drop("__probe", "__found")
@@ -66,35 +67,33 @@ def _answer(miss: int | None) -> Column:
     )
 
 
-def _by_cut_points(probes: DataFrame, points: DataFrame) -> DataFrame:
-    """A bucket [score, next score) is exactly "greatest score at or below"."""
-    known = points.toPandas().sort_values("__point", ignore_index=True)
-    inner = known[known["__point"].map(math.isfinite)]
-    if inner.empty:
-        probes = probes.withColumn("__bucket", F.lit(0.0))
-    else:
-        cut = Bucketizer(
-            splits=[-math.inf, *inner["__point"], math.inf],
-            inputCol="__probe",
-            outputCol="__bucket",
-            handleInvalid="keep",
-        )
-        probes = cut.transform(probes)
-    # The bucket's number is the place of its lower bound; -inf, if in the table, is the lowest.
-    inner = inner.assign(__bucket=range(1, len(inner) + 1))
-    lowest = known[known["__point"] == -math.inf].assign(__bucket=0)
-    buckets = pd.concat([lowest, inner])[["__bucket", "__value"]].rename(columns={"__value": "__found"})
-    table = probes.sparkSession.createDataFrame(
-        buckets.astype({"__bucket": "float64", "__found": "Int64"}), "__bucket double, __found long"
+def _by_broadcast(probes: DataFrame, points: DataFrame, size: int) -> DataFrame:
+    """Join each probe to the step [score, next score) it lies on.
+
+    The steps travel by broadcast and are met by bucket, a run of consecutive
+    steps, so a probe is compared with the few steps of one bucket only.
+    """
+    # One task orders the steps: at most small_rows rows, checked by the caller.
+    order = Window.orderBy("__point")
+    steps = points.select(
+        "__point",
+        F.lead("__point").over(order).alias("__next"),
+        F.col("__value").alias("__found"),
+        (F.row_number().over(order) - 1).alias("__n"),
     )
-    # At most as many rows as the caller found the table to have.
-    found = probes.join(F.broadcast(table), "__bucket", "left").drop("__bucket")
-    for top in known.loc[known["__point"] == math.inf, "__value"]:
-        value = F.lit(None if pd.isna(top) else int(top)).cast("long")
-        found = found.withColumn(
-            "__found", F.when(F.col("__probe") == math.inf, value).otherwise(F.col("__found"))
-        )
-    return found
+    run = -(-size // BUCKETS) or 1
+    starts = steps.where(F.col("__n") % run == 0).select("__point").collect()
+    bounds = sorted(r["__point"] for r in starts if math.isfinite(r["__point"]))
+    buckets = Slices(tuple(bounds), {})
+    asked = buckets.assign(probes, "__probe", "__bucket")
+    steps = buckets.assign(steps.drop("__n"), "__point", "__at")
+    on_step = (
+        (F.col("__bucket") == F.col("__at"))
+        & (F.col("__point") <= F.col("__probe"))
+        & (F.col("__next").isNull() | (F.col("__probe") < F.col("__next")))
+    )
+    found = asked.join(F.broadcast(steps), on_step, "left")
+    return found.drop("__bucket", "__at", "__point", "__next")
 
 
 def _by_slices(probes: DataFrame, points: DataFrame, row_id: str, count: int) -> DataFrame:
