@@ -15,8 +15,6 @@ from cohorta.scratch import materialize
 # Any function that adds ``Score_Predit`` to a frame is a predictor.
 Predictor = Callable[[DataFrame], DataFrame]
 
-_TRUTH = "__truth"
-
 
 def rank_error(truth: Column, predicted: Column) -> tuple[Column, Column]:
     """The evaluated error, the square root of the RMSE, and the plain RMSE.
@@ -46,48 +44,45 @@ def rank_all(
 ) -> DataFrame:
     """Rank truth and every model's score by cohort, side by side.
 
-    ``scores`` maps model names to score columns.  The scores are written once
-    in long form, so that all series are ranked over one shuffle.  Returns one
-    row per applicant, model and tie method: ``true_rank`` and ``predicted_rank``.
+    ``scores`` maps model names to score columns.  The scores are written once,
+    since ranking reads its input more than once; all models are then ranked
+    over one shuffle.  Returns one row per applicant, model and tie method:
+    ``true_rank`` and ``predicted_rank``.
     """
-    series = {_TRUTH: truth, **scores}
-    pairs = F.array(*[
-        F.struct(F.lit(name).alias("series"), as_column(c).cast("double").alias("score"))
-        for name, c in series.items()
-    ])
     outcome = as_column(result)
-    base = df.select(
-        as_column(cohort).alias("cohort"),
-        as_column(row_id).alias("row_id"),
-        F.coalesce(outcome == PASSE, F.lit(False)).alias("passed"),
-        (~outcome.eqNullSafe(F.lit(NON_ADMIS))).alias("admitted"),
-        F.inline(pairs),
-    )
-    ranked = add_ranks(
-        materialize(base, "scores"), "score", "row_id", by=["series", "cohort"], methods=methods, slices=slices
-    )
-    # The series meet again per applicant: (cohort, row_id) is unique.  All
-    # buffers are of fixed width, which keeps this a hash aggregation.
-    wide = ranked.groupBy("cohort", "row_id").agg(
-        F.max("passed").alias("passed"),
-        F.max("admitted").alias("admitted"),
-        *[
-            F.max(F.when(F.col("series") == s, F.col(f"rank_{m}").cast("double"))).alias(f"s{i}_{m}")
-            for i, s in enumerate(series)
-            for m in methods
-        ],
+    columns = {f"__p{i}": c for i, c in enumerate(scores.values())}
+    wide = materialize(
+        df.select(
+            as_column(cohort).alias("cohort"),
+            as_column(row_id).alias("row_id"),
+            F.coalesce(outcome == PASSE, F.lit(False)).alias("passed"),
+            (~outcome.eqNullSafe(F.lit(NON_ADMIS))).alias("admitted"),
+            as_column(truth).cast("double").alias("__truth"),
+            *[as_column(c).cast("double").alias(name) for name, c in columns.items()],
+        ),
+        "scores",
     )
+    options = {"methods": methods, "slices": slices}
+    truths = wide.select(F.col("cohort").alias("__cohort"), F.col("row_id").alias("__row_id"), "__truth")
+    truths = add_ranks(truths, "__truth", "__row_id", ["__cohort"], prefix="__t_", **options)
+    pairs = F.array(*[
+        F.struct(F.lit(model).alias("model"), F.col(name).alias("score"))
+        for model, name in zip(scores, columns)
+    ])
+    predicted = wide.select("cohort", "row_id", "passed", "admitted", F.inline(pairs))
+    predicted = add_ranks(predicted, "score", "row_id", ["model", "cohort"], prefix="__p_", **options)
+    same = F.col("cohort").eqNullSafe(F.col("__cohort")) & (F.col("row_id") == F.col("__row_id"))
     cells = [
         F.struct(
-            F.lit(model).alias("model"),
-            F.lit(method).alias("method"),
-            F.col(f"s0_{method}").alias("true_rank"),
-            F.col(f"s{i}_{method}").alias("predicted_rank"),
+            F.lit(m).alias("method"),
+            F.col(f"__t_{m}").cast("double").alias("true_rank"),
+            F.col(f"__p_{m}").cast("double").alias("predicted_rank"),
         )
-        for i, model in enumerate(scores, start=1)
-        for method in methods
+        for m in methods
     ]
-    return wide.select("cohort", "row_id", "passed", "admitted", F.inline(F.array(*cells)))
+    return predicted.join(truths, same).select(
+        "cohort", "row_id", "passed", "admitted", "model", F.inline(F.array(*cells))
+    )
 
 
 def measure(ranked: DataFrame, by: Sequence[str] = ("model", "method", "cohort")) -> DataFrame:
