@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from cohorta import schema
 from cohorta.functions.scalar import as_column, equals_flag, number_or_zero
 from cohorta.operators.slicing import number_rows
+from cohorta.scratch import materialize
 
 Flags = Mapping[str, Mapping[str, str]]
 
@@ -86,16 +87,22 @@ def group_mean(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Data
 def map_group_mean(df: DataFrame, means: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """Attach the mean of each row's group; null where key or group is unknown.
 
-    The means hold one row per key, so only the row side can be skewed, and
-    adaptive execution splits its oversized partitions; small means travel by
-    broadcast when their size in bytes allows.
+    ``means`` should be a stored table with one row per key.  Small ones then
+    travel by broadcast, their size being known; else both sides of the join are
+    plain shuffles, and adaptive execution splits the partition of a hot key.
+    (Straight after an aggregation on the same key it could not.)
     """
     return df.join(means.select(*keys, out), list(keys), "left")
 
 
 def target_mean(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Target encoding: the mean of the row's own group."""
-    return map_group_mean(df, group_mean(df, keys, value, out), keys, out)
+    return map_group_mean(df, stored_group_mean(df, keys, value, out), keys, out)
+
+
+def stored_group_mean(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Group means written to a table of their own."""
+    return materialize(group_mean(df, keys, value, out), "means")
 
 
 def cohort_prep(
@@ -178,7 +185,7 @@ def fit_feature_stats(
     return FeatureStats(
         codes=label_codes(df, present) if present else None,
         means={
-            out: group_mean(df, [key], value, out) for out, key in groups.items() if key in df.columns
+            out: stored_group_mean(df, [key], value, out) for out, key in groups.items() if key in df.columns
         },
     )
 
@@ -231,7 +238,7 @@ def fit_tree_stats(
     named = df.withColumn(academy, label_text(academy))
     return FeatureStats(
         codes=label_codes(df, [c for c in labels if c in df.columns]),
-        means={"academie_perf": group_mean(named, [academy], value, "academie_perf")},
+        means={"academie_perf": stored_group_mean(named, [academy], value, "academie_perf")},
     )
 
 

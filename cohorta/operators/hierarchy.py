@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohorta.functions.scalar import as_column
 from cohorta.operators.slicing import number_rows
+from cohorta.scratch import materialize
 
 DOCUMENT_TYPE = "map<string,map<string,array<string>>>"
 LEVELS = ("regions", "academies", "residences")
@@ -111,7 +112,8 @@ def append_entries(
             "__orphan", F.col("__known").isNull()
         ).drop("__known")
     # One row per name says both whether it is taken and who comes first, so a
-    # much repeated name is met in a single join.
+    # much repeated name is met in a single join.  Stored, the two sides of that
+    # join are plain shuffles, which adaptive execution can split.
     stored = existing.select("name", F.lit(True).alias("__taken"), F.lit(None).alias("__seq"))
     asking = checked.where(~F.col("__orphan")).select(
         "name", F.lit(False).alias("__taken"), F.col(order_by).alias("__seq")
@@ -119,7 +121,7 @@ def append_entries(
     facts = stored.union(asking).groupBy("name").agg(
         F.max("__taken").alias("__taken"), F.min("__seq").alias("__first")
     )
-    checked = checked.join(facts, "name", "left")
+    checked = checked.join(materialize(facts, "names"), "name", "left")
     reason = (
         F.when(F.col("__orphan"), "unknown_parent")
         .when(F.col("__taken"), "name_exists")
@@ -164,7 +166,7 @@ def nest_regions(
         .unionByName(bare_tops, allowMissingColumns=True)
     )
     numbered = number_rows(leaves, ["region_id", "academie_id", "residence_id"], "__n")
-    first = numbered.groupBy("region_id").agg(F.min("__n").alias("__first"))
+    first = materialize(numbered.groupBy("region_id").agg(F.min("__n").alias("__first")), "starts")
     paged = numbered.join(first, "region_id").withColumn(
         "page", F.floor((F.col("__n") - F.col("__first")) / F.lit(page_rows))
     )
@@ -203,7 +205,7 @@ def children_of_parents(wanted: DataFrame, parents: DataFrame, children: DataFra
     A parent without children keeps one row with a null child; unknown parents
     are in ``unknown_parents``.
     """
-    known = wanted.join(parents.select("id"), "id", "left_semi")
+    known = materialize(wanted.join(parents.select("id"), "id", "left_semi"), "parents")
     kids = children.select(
         as_column(parent_key).alias("id"), F.col("id").alias("child_id"), F.col("name").alias("child_name")
     )

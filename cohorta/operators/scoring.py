@@ -20,6 +20,7 @@ from cohorta.functions.scalar import (
     rounded,
 )
 from cohorta.operators.features import require_columns
+from cohorta.scratch import materialize
 
 # Status that belongs to each linear model.
 MODEL_STATUS = {
@@ -211,8 +212,8 @@ def score_with_model_table(
     for i, name in enumerate(features):
         here = F.col("feature") == name
         picked += [F.max(F.when(here, F.col(c))).alias(f"__{c}{i}") for c in ("coef", "mean", "scale")]
-    wide = models.groupBy(*keys).agg(*picked)
-    if wide.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    wide = materialize(models.groupBy(*keys).agg(*picked), "models")
+    if wide.count() <= max_broadcast_rows:
         wide = F.broadcast(wide)
     joined = df.join(wide, list(keys), "left")
     score = F.col("__b")
