@@ -36,6 +36,8 @@ def flatten_documents(docs: DataFrame) -> dict[str, DataFrame]:
         "doc", "p1", "p2", "region", F.col("academy_entry.key").alias("academie"),
         F.posexplode_outer("academy_entry.value").alias("p3", "residence"),
     )
+    # Three levels are numbered from it: parse the documents once.
+    leaves = materialize(leaves, "leaves")
 
     def keyed(level: Sequence[str], place: Sequence[str]) -> DataFrame:
         seen = leaves.where(F.col(level[-1]).isNotNull())

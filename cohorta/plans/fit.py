@@ -130,9 +130,10 @@ def fit_cascade(
         return fit_linear(known.where(F.col("__route") == key), model_inputs, "__target", stats=stats[key])
 
     # The fits are independent jobs over one stored table: let the cluster overlap them.
+    in_session = inheritable_thread_target(df.sparkSession)
     with ThreadPoolExecutor(len(TREE_KEYS) + len(stats)) as pool:
-        tree_jobs = {key: pool.submit(inheritable_thread_target(tree), key) for key in TREE_KEYS}
-        model_jobs = {key: pool.submit(inheritable_thread_target(model), key) for key in stats}
+        tree_jobs = {key: pool.submit(in_session(tree), key) for key in TREE_KEYS}
+        model_jobs = {key: pool.submit(in_session(model), key) for key in stats}
         trees = {key: job.result() for key, job in tree_jobs.items()}
         models = {key: job.result() for key, job in model_jobs.items()}
     return Cascade(trees, models)
