@@ -84,27 +84,24 @@ def ensemble_v1(df):
     return score_applicants(df, CASCADE, digits=DIGITS)
 
 
-def ensemble_v2(df):
-    models = cohort_models(df, INTERCEPTS_V2)
-    return M.score_by_cohort(df, TREES, models, ["moy_gle", "math"], digits=DIGITS)
-
-
-def ensemble_v3(df):
-    models = cohort_models(df, INTERCEPTS_V3)
-    return M.score_by_cohort(df, TREES_V3, models, ["moy_gle", "math"], digits=DIGITS)
+def by_cohort(spark, sf_dir, trees, intercepts):
+    """Predictor with linear models of each cohort's own."""
+    models = cohort_models(spark, sf_dir, intercepts)
+    return lambda df: M.score_by_cohort(df, trees, models, ["moy_gle", "math"], digits=DIGITS)
 
 
 def global_linear(df):
     return M.global_linear_score(df, M.LinearModel(50.0, TERMS), digits=DIGITS)
 
 
-PREDICTORS = {
-    "ensemble_v1": ensemble_v1,
-    "ensemble_v2": ensemble_v2,
-    "ensemble_v3": ensemble_v3,
-    "global_linear": global_linear,
-    "baseline": baseline_prediction,
-}
+def predictors(spark, sf_dir):
+    return {
+        "ensemble_v1": ensemble_v1,
+        "ensemble_v2": by_cohort(spark, sf_dir, TREES, INTERCEPTS_V2),
+        "ensemble_v3": by_cohort(spark, sf_dir, TREES_V3, INTERCEPTS_V3),
+        "global_linear": global_linear,
+        "baseline": baseline_prediction,
+    }
 
 
 @query(f"""WITH {RANKED_SQL} SELECT cohort, round_even(sqrt(rmse) * 1e6, 0) / 1e6 AS rank_error,
@@ -132,11 +129,12 @@ def eval_macro(spark, sf_dir):
 
 @query(f"WITH {RANKED_SQL} {MACRO_SQL} WHERE model = 'ensemble_v2' AND method = 'average' GROUP BY model, method")
 def evaluate_model(spark, sf_dir):
-    out = E.evaluate_model(applicants(spark, sf_dir, NEEDED), ensemble_v2, suffix="ensemble_v2")
+    predictor = by_cohort(spark, sf_dir, TREES, INTERCEPTS_V2)
+    out = E.evaluate_model(applicants(spark, sf_dir, NEEDED), predictor, suffix="ensemble_v2")
     return _six(out, "rank_error", "mrr_strict", "mrr_open")
 
 
 @query(f"WITH {RANKED_SQL} {MACRO_SQL} GROUP BY model, method")
 def evaluate_grid(spark, sf_dir):
-    out = E.evaluate_grid(applicants(spark, sf_dir, NEEDED), PREDICTORS, METHODS)
+    out = E.evaluate_grid(applicants(spark, sf_dir, NEEDED), predictors(spark, sf_dir), METHODS)
     return _six(out, "rank_error", "mrr_strict", "mrr_open")

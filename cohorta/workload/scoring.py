@@ -122,9 +122,9 @@ def intercept_sql(intercepts) -> str:
     return "CASE model_key " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in intercepts.items()) + " END"
 
 
-def cohort_models(df, intercepts):
-    """Model table with one model per cohort and route, learned from the frame."""
-    stats = df.groupBy("cohort").agg(
+def cohort_models(spark, sf_dir, intercepts):
+    """Model table with one model per cohort and route, learned from all applicants."""
+    stats = applicants(spark, sf_dir, ["cohort", "moy_gle"]).groupBy("cohort").agg(
         F.avg("moy_gle").alias("mean"), F.rint(F.stddev_pop("moy_gle")).alias("scale")
     )
     keys = F.array(*[
@@ -145,7 +145,7 @@ SELECT row_id, cohort, model_key AS "Model_Utilise", {STATUS_SQL} AS "Prediction
 FROM (SELECT *, {ROUTE_SQL} AS model_key FROM applicants JOIN cohort_stats ON cohort = model_cohort)""")
 def score_by_cohort_model(spark, sf_dir):
     df = applicants(spark, sf_dir, [*INPUTS, "cohort"])
-    models = cohort_models(df, INTERCEPTS_V2)
+    models = cohort_models(spark, sf_dir, INTERCEPTS_V2)
     out = M.score_by_cohort(df, TREES, models, ["moy_gle", "math"], digits=DIGITS)
     return out.drop("moy_gle", "math")
 
