@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.functions.scalar import as_column, number
-from cohorta.operators.slicing import Slices, slice_count, value_slices
+from cohorta.operators.slicing import Slices, value_slices
 from cohorta.scratch import materialize
 
 # Up to this many distinct scores the table travels to the executors.
@@ -54,7 +54,7 @@ def asof_lookup(
     if size <= small_rows:
         found = _by_broadcast(probes, points, size)
     else:
-        found = _by_slices(probes, points, row_id, slice_count(probes.sparkSession, slices))
+        found = _by_slices(probes, points, row_id, slices)
     return found.withColumn(out, _answer(miss)).drop("__probe", "__found")
 
 
@@ -96,18 +96,18 @@ def _by_broadcast(probes: DataFrame, points: DataFrame, size: int) -> DataFrame:
     return found.drop("__bucket", "__at", "__point", "__next")
 
 
-def _by_slices(probes: DataFrame, points: DataFrame, row_id: str, count: int) -> DataFrame:
+def _by_slices(probes: DataFrame, points: DataFrame, row_id: str, slices: int | None) -> DataFrame:
     """Carry the last table value forward inside slices, and across them by offset.
 
     A slice is bounded in rows; a score shared by very many probes has its own
     slice, spread over pieces that each receive the (one) table row of it.
     """
     scores = probes.select("__probe").unionByName(points.select(F.col("__point").alias("__probe")))
-    cuts = value_slices(scores, "__probe", count)
+    cuts = value_slices(scores, "__probe", slices)
 
     asked = cuts.assign(probes, "__probe", "__slice")
     no_score = F.col("__slice") == cuts.count
-    pieces = F.when(no_score, F.lit(count)).otherwise(cuts.pieces("__slice"))
+    pieces = F.when(no_score, F.lit(cuts.count)).otherwise(cuts.pieces("__slice"))
     asked = asked.withColumn("__piece", F.pmod(F.xxhash64(row_id), pieces).cast("int"))
 
     known = cuts.assign(points, "__point", "__slice")
@@ -144,7 +144,7 @@ def _by_slices(probes: DataFrame, points: DataFrame, row_id: str, count: int) ->
     return (
         both.withColumn("__inside", F.last("__held", ignorenulls=True).over(so_far))
         .where(F.col("__is_probe") == 1)
-        # One row per slice, and there are at most MAX_SLICES times two of them.
+        # One row per slice; MAX_SLICES bounds them.
         .join(F.broadcast(carried), "__slice", "left")
         .select("__row.*", F.coalesce("__inside", "__carried")["__value"].alias("__found"))
     )

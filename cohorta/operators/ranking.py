@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.functions.scalar import as_column
-from cohorta.operators.slicing import number_rows, slice_count, value_slices
+from cohorta.operators.slicing import Slices, number_rows, value_slices
 
 TIE_METHODS = ("average", "first", "min", "max", "dense")
 
@@ -39,14 +39,12 @@ def add_ranks(
     unknown = set(methods) - set(TIE_METHODS)
     if unknown:
         raise ValueError(f"unknown tie methods: {sorted(unknown)}")
-    count = slice_count(df.sparkSession, slices)
-
     rows = df.withColumn("__score", as_column(score).cast("double"))
     rows = rows.withColumn("__score", F.when(~F.isnan("__score"), F.col("__score")))
     group = [f"__by{i}" for i in range(len(by))]
     rows = rows.withColumns({g: as_column(c) for g, c in zip(group, by)}) if by else rows
-    cuts = value_slices(rows, "__score", count)
-    rows = _add_piece(cuts.assign(rows, "__score", "__slice"), cuts, row_id, count)
+    cuts = value_slices(rows, "__score", slices)
+    rows = _add_piece(cuts.assign(rows, "__score", "__slice"), cuts, row_id, slices)
 
     starts = _cell_starts(rows, group, cuts, with_distinct="dense" in methods)
 
@@ -83,15 +81,15 @@ def add_ranks(
     )
 
 
-def _add_piece(rows: DataFrame, cuts, row_id: str, count: int) -> DataFrame:
+def _add_piece(rows: DataFrame, cuts: Slices, row_id: str, slices: int | None) -> DataFrame:
     """Split the rows of a frequent score into ``row_id`` ranges.
 
     Rows without a score need no order, so a hash of the id spreads them.
     """
-    spread = F.pmod(F.xxhash64(row_id), F.lit(count)).cast("int")
+    spread = F.pmod(F.xxhash64(row_id), F.lit(cuts.count)).cast("int")
     if not cuts.heavy:
         return rows.withColumn("__piece", F.when(F.col("__score").isNull(), spread).otherwise(0))
-    ids = value_slices(rows, row_id, count)
+    ids = value_slices(rows, row_id, slices)
     rows = ids.assign(rows, row_id, "__id_slice")
     piece = F.floor(F.col("__id_slice") * cuts.pieces("__slice") / F.lit(ids.count)).cast("int")
     return rows.withColumn(
@@ -99,7 +97,7 @@ def _add_piece(rows: DataFrame, cuts, row_id: str, count: int) -> DataFrame:
     ).drop("__id_slice")
 
 
-def _cell_starts(rows: DataFrame, group: list[str], cuts, with_distinct: bool) -> DataFrame:
+def _cell_starts(rows: DataFrame, group: list[str], cuts: Slices, with_distinct: bool) -> DataFrame:
     """Per (group, slice, piece): how many rows and scores rank above it.
 
     At most a few cells per slice and group, counted with map-side aggregation.

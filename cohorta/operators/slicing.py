@@ -14,18 +14,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.scratch import materialize
 
-MAX_SLICES = 4096
-
-
-def slice_count(spark: SparkSession, slices: int | None = None) -> int:
-    """Number of slices: as asked, else the shuffle width, within bounds."""
-    wanted = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(wanted, MAX_SLICES))
+MAX_SLICES = 8192
+# More slices than the shuffle is wide are cut when one would exceed this.
+ROWS_PER_SLICE = 2_000_000
+# Rows the bounds of such finer slices are drawn from.
+SAMPLE_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -69,16 +67,33 @@ class Slices:
         return F.coalesce(F.element_at(table, F.col(slice_column)), F.lit(1))
 
 
-def value_slices(df: DataFrame, column: str, count: int) -> Slices:
+def _quantiles(df: DataFrame, column: str, count: int) -> tuple[int, list[float]]:
+    """Number of values, and the points that cut them into ``count`` equal shares."""
+    shares = [i / count for i in range(1, count)]
+    points = F.percentile_approx(column, shares, 4 * count)
+    rows, found = df.agg(F.count(column), points).first()
+    return rows, [float(p) for p in found or []]
+
+
+def value_slices(df: DataFrame, column: str, count: int | None = None) -> Slices:
     """Slices of about equal row count over a numeric column.
 
+    Without a ``count`` there are as many as the shuffle has partitions, or more
+    if the rows ask for it; the bounds of many slices come from a sample, which
+    touches their balance and nothing else.
+
     A value that fills two or more quantile points is frequent: it gets a slice
     of its own, and as many pieces as the points it filled, plus one.  There
-    are fewer than ``count`` such values, whatever the data.
+    are fewer such values than slices, whatever the data.
     """
-    shares = [i / count for i in range(1, count)]
-    points = df.agg(F.percentile_approx(column, shares, 4 * count)).first()[0] or []
-    repeats = Counter(float(p) for p in points if math.isfinite(p))
+    width = count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(2, min(width, MAX_SLICES))
+    rows, points = _quantiles(df, column, width)
+    finer = min(-(-rows // ROWS_PER_SLICE), MAX_SLICES)
+    if count is None and finer > width:
+        sample = df.sample(min(1.0, SAMPLE_ROWS / rows), seed=1)
+        points = _quantiles(sample, column, finer)[1]
+    repeats = Counter(p for p in points if math.isfinite(p))
     frequent = {p: n for p, n in repeats.items() if n > 1}
     after = (math.nextafter(p, math.inf) for p in frequent)
     bounds = tuple(sorted(set(repeats) | {p for p in after if math.isfinite(p)}))

@@ -62,6 +62,19 @@ def test_no_task_holds_a_hot_value(spark):
     assert largest <= 3 * 20_000 / 20
 
 
+def test_more_rows_cut_finer_slices(spark, monkeypatch):
+    from cohorta.operators import slicing
+
+    pdf, df = frame(spark, n=2000)
+    coarse = value_slices(df, "score").count
+    monkeypatch.setattr(slicing, "ROWS_PER_SLICE", 50)
+    monkeypatch.setattr(slicing, "SAMPLE_ROWS", 1000)
+    assert value_slices(df, "score").count > 2 * coarse
+    got = R.add_ranks(df, "score", "row_id", methods=("average",)).toPandas().set_index("row_id").sort_index()
+    want = pdf.set_index("row_id").sort_index()["score"].rank(ascending=False)
+    pd.testing.assert_series_equal(got["rank_average"], want, check_names=False)
+
+
 def test_number_rows_is_a_total_order(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"))
     rows = number_rows(df, ["x"], "n").collect()
