@@ -17,7 +17,7 @@ from cohorta.scratch import materialize
 SEED = 42
 BITS, BYTES = 64, 8
 # Postings of up to this many fingerprints are compared; larger ones are split further.
-POSTING_ROWS = 256
+POSTING_ROWS = 512
 # Fingerprints compared at once in a task.
 BUFFER_ROWS = 1 << 14
 # Shingles hashed at once.
@@ -80,10 +80,6 @@ def finer_masks(mask: int) -> list[int]:
     return [mask | sum(1 << k for k in free[b::4]) for b in range(4)]
 
 
-def _open_bits(mask: int) -> int:
-    return BITS - mask.bit_count()
-
-
 def linked_pairs(keys: np.ndarray, bits: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked fingerprints within equal keys; rows are sorted by key.
 
@@ -158,8 +154,7 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be 0 to 3")
     spark = nodes.sparkSession
-    masks = first_masks()
-    postings = nodes.select("bits", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    postings = nodes.select("bits", F.explode(F.array(*[F.lit(signed(m)) for m in first_masks()])).alias("mask"))
     found = []
     while True:
         keyed = postings.select("mask", F.col("bits").bitwiseAND(F.col("mask")).alias("key"), "bits")
@@ -168,21 +163,21 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
         )
         # The stored side has one row per key, so adaptive execution may split a hot key.
         level = materialize(keyed.join(sizes, ["mask", "key"]).select("mask", "key", "bits", "size"), "postings")
-        large = [signed(m) for m in masks if 2 ** _open_bits(m) > POSTING_ROWS]
-        splits = (F.col("size") > POSTING_ROWS) & F.col("mask").isin(large)
+        # A key with few open bits has a bounded posting and need not be split.
+        open_bits = F.lit(BITS) - F.bit_count("mask")
+        splits = (F.col("size") > POSTING_ROWS) & (open_bits > F.lit(POSTING_ROWS.bit_length() - 1))
         small = level.where(~splits).select("mask", "key", "bits")
         found.append(
             small.repartition("mask", "key")
             .sortWithinPartitions("mask", "key", "bits")
             .mapInArrow(_compare(max_bits), "a long, b long")
         )
-        if level.where(splits).isEmpty():
+        # Masks, not keys: how many there are depends on the level alone.
+        split = [r["mask"] for r in level.where(splits).select("mask").distinct().collect()]
+        if not split:
             break
-        finer = {signed(m): [signed(f) for f in finer_masks(m)] for m in masks}
-        rows = [(m, f) for m, fs in finer.items() if m in large for f in fs]
-        masks = [f % (1 << BITS) for f in dict.fromkeys(f for _, f in rows)]
+        rows = [(m, signed(f)) for m in split for f in finer_masks(m % (1 << BITS))]
         table = spark.createDataFrame(rows, "mask long, finer long")
-        # The table of masks is fixed by the level: at most four times that of the level before.
         postings = (
             level.where(splits)
             .join(F.broadcast(table), "mask")
