@@ -81,6 +81,11 @@ def number_or_zero(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.nanvl(number(df, name), F.lit(0.0)), F.lit(0.0))
 
 
+def one_zero(value: Column) -> Column:
+    """Negative zero as zero: the two are equal, but not to a search by bits or buckets."""
+    return F.when(value == 0, F.lit(0.0)).otherwise(value)
+
+
 def rounded(value: Column, digits: int) -> Column:
     """Round to the nearest, exact halves to the even digit."""
     power = F.lit(10.0**digits)

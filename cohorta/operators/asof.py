@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohorta.functions.scalar import as_column, number
+from cohorta.functions.scalar import as_column, number, one_zero
 from cohorta.operators.slicing import Slices, value_slices
 from cohorta.scratch import materialize
 
@@ -38,8 +38,8 @@ def asof_lookup(
     """
     points = (
         table.select(
-            number(table, table_score).alias("__point"),
-            number(table, table_value).cast("long").alias("__value"),
+            one_zero(number(table, table_score)).alias("__point"),
+            F.nanvl(number(table, table_value), F.lit(None).cast("double")).cast("long").alias("__value"),
         )
         .where(F.col("__point").isNotNull() & ~F.isnan("__point"))
         .groupBy("__point")
@@ -47,7 +47,7 @@ def asof_lookup(
     )
     if miss is not None:
         points = points.na.fill(miss, ["__value"])
-    probes = probes.withColumn("__probe", number(probes, probe_score))
+    probes = probes.withColumn("__probe", one_zero(number(probes, probe_score)))
     # Written once: its size decides the way, and either way reads it again.
     points = materialize(points, "points")
     size = points.count()

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohorta.functions.scalar import as_column
+from cohorta.functions.scalar import as_column, one_zero
 from cohorta.operators.slicing import Slices, number_rows, value_slices
 
 TIE_METHODS = ("average", "first", "min", "max", "dense")
@@ -40,7 +40,7 @@ def add_ranks(
     if unknown:
         raise ValueError(f"unknown tie methods: {sorted(unknown)}")
     rows = df.withColumn("__score", as_column(score).cast("double"))
-    rows = rows.withColumn("__score", F.when(~F.isnan("__score"), F.col("__score")))
+    rows = rows.withColumn("__score", F.when(~F.isnan("__score"), one_zero(F.col("__score"))))
     group = [f"__by{i}" for i in range(len(by))]
     rows = rows.withColumns({g: as_column(c) for g, c in zip(group, by)}) if by else rows
     cuts = value_slices(rows, "__score", slices)
@@ -149,7 +149,7 @@ def paginate(df: DataFrame, key: str | Column, skip: int = 0, limit: int = 100)
         return df.orderBy(key).offset(skip).limit(limit)
     numbered = number_rows(df, [key], "__row", start=0)
     page = (F.col("__row") >= skip) & (F.col("__row") < skip + limit)
-    return numbered.where(page).drop("__row")
+    return numbered.where(page).orderBy("__row").drop("__row")
 
 
 def null_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:

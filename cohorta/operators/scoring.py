@@ -119,7 +119,8 @@ def tree_decision(node: Split | int) -> Column:
 
 
 def standardised(term: Term) -> Column:
-    return (as_column(term.feature) - F.lit(term.mean)) / F.lit(term.scale)
+    # A scale of 0 counts as 1, as when the scaler is fitted on a constant.
+    return (as_column(term.feature) - F.lit(term.mean)) / F.lit(term.scale or 1.0)
 
 
 def linear_score(model: LinearModel) -> Column:
@@ -207,7 +208,11 @@ def score_with_model_table(
     ``models`` has one row per key and feature: the keys, ``feature``, ``coef``,
     ``mean``, ``scale`` and ``intercept``.  It is turned into one row per key;
     a feature the model does not use counts nothing.  No model, no score.
+    A model with a feature that is not listed raises.
     """
+    unlisted = models.where(~F.col("feature").isin(*features)).select("feature").first()
+    if unlisted is not None:
+        raise ValueError(f"a model uses a feature that is not listed: {unlisted['feature']!r}")
     picked = [F.first("intercept").alias("__b")]
     for i, name in enumerate(features):
         here = F.col("feature") == name
@@ -218,7 +223,8 @@ def score_with_model_table(
     joined = df.join(wide, list(keys), "left")
     score = F.col("__b")
     for i, name in enumerate(features):
-        z = (as_column(name) - F.col(f"__mean{i}")) / F.col(f"__scale{i}")
+        scale = F.when(F.col(f"__scale{i}") == 0, F.lit(1.0)).otherwise(F.col(f"__scale{i}"))
+        z = (as_column(name) - F.col(f"__mean{i}")) / scale
         coef = F.col(f"__coef{i}")
         score = score + F.when(coef.isNull(), F.lit(0.0)).otherwise(coef * z)
     score = rounded(score, digits) if digits is not None else score

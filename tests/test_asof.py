@@ -68,3 +68,11 @@ def test_text_scores_are_cleaned(spark):
     table = spark.createDataFrame([(" 12 ", " 3"), ("bad", "1")], "score string, rank string")
     rows = asof_lookup(probes, table, "p", "score", "rank", "found", "row_id").collect()
     assert {r["row_id"]: r["found"] for r in rows} == {1: 3, 2: None}
+
+
+def test_negative_zero_and_a_nan_rank(spark):
+    table = spark.createDataFrame([(-1.0, 3.0), (0.0, 2.0), (1.0, 1.0), (2.0, float("nan"))], "score double, rank double")
+    probes = spark.createDataFrame([(1, -0.0), (2, 0.0), (3, -0.5), (4, 5.0)], "id long, score double")
+    for small_rows in (100, 0):
+        got = asof_lookup(probes, table, "score", "score", "rank", "out", "id", small_rows=small_rows)
+        assert {r["id"]: r["out"] for r in got.collect()} == {1: 2, 2: 2, 3: 3, 4: 0}

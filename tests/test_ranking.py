@@ -106,3 +106,15 @@ def test_pages(spark, monkeypatch):
 def test_null_scores(spark):
     df = spark.createDataFrame([(1, None), (2, 1.0)], "id long, s double")
     assert [r["id"] for r in R.null_scores(df, ["s"]).collect()] == [1]
+
+
+def test_negative_zero_ties_with_zero(spark):
+    df = spark.createDataFrame([(k, 0.0 if k else -0.0) for k in range(51)] + [(60, 1.0), (61, -1.0)], "id long, s double")
+    for row in R.add_ranks(df, "s", "id", methods=("min", "max", "dense", "average")).where("s = 0").collect():
+        assert (row["rank_min"], row["rank_max"], row["rank_dense"], row["rank_average"]) == (2, 52, 2, 27.0)
+
+
+def test_deep_pages_are_ordered(spark, monkeypatch):
+    monkeypatch.setattr(R, "TOP_K_ROWS", 10)
+    df = spark.range(1000).withColumn("k", 999 - F.col("id"))
+    assert [r["k"] for r in R.paginate(df, "k", 500, 300).collect()] == list(range(500, 800))
