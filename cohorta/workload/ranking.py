@@ -118,3 +118,25 @@ def sorted_by_score(spark, sf_dir):
 def paginate(spark, sf_dir):
     df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return R.paginate(df, "id", skip=10, limit=25)
+
+
+@query("""SELECT id, rank() OVER (ORDER BY score DESC) AS rank_min, dense_rank() OVER (ORDER BY score DESC) AS rank_dense
+FROM (SELECT c_custkey AS id, round_even(c_acctbal / 2000.0, 0) * (c_custkey % 2) + 0.0 AS score FROM customer)""")
+def rank_zero_ties(spark, sf_dir):
+    """Half of the scores are zero, of either sign."""
+    rounded = F.rint(F.col("c_acctbal") / F.lit(2000.0))
+    score = F.when(F.col("c_custkey") % 2 == 0, rounded * F.lit(-0.0)).otherwise(rounded)
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), score.alias("score"))
+    ranked = R.add_ranks(df, "score", "id", methods=("min", "dense"))
+    return ranked.select("id", "rank_min", "rank_dense")
+
+
+@query("""SELECT l_orderkey, l_linenumber, place FROM (
+  SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) - 12001 AS place FROM lineitem)
+WHERE place >= 0 AND place < 500""")
+def paginate_deep(spark, sf_dir):
+    """A page beyond the top-k depth, with each row's place on it."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+    page = R.paginate(df, "line", skip=12_000, limit=500)
+    return R.number_rows(page, ["line"], "place", start=0).select("l_orderkey", "l_linenumber", "place")
