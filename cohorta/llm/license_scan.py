@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import regex
@@ -108,12 +110,13 @@ def scan_texts(search: NoticeSearch, base: Sequence[Notice], texts: list) -> lis
     for text in texts:
         words = normal_words(text)
         line = " ".join(words)
-        exact = [(line.count(" ", 0, at), n.label) for n in base for at in exact_places(line, n.phrase)]
+        begins = list(accumulate((len(w) + 1 for w in words), initial=0))
+        exact = [(bisect_right(begins, at) - 1, n.label) for n in base for at in exact_places(line, n.phrase)]
         spans, best = [], 0.0
         for start, end, k, edits in search.spans(line):
             notice = search.notices[k]
-            first = line.count(" ", 0, start) + (line[start] == " ")
-            last = line.count(" ", 0, max(start, end - 1)) + 1 - (line[end - 1] == " ")
+            first = bisect_right(begins, start) - 1 + (line[start] == " ")
+            last = bisect_right(begins, max(start, end - 1)) - (line[end - 1] == " ")
             spans.append((first, max(last, first + 1), notice.label, edits))
             best = max(best, 1.0 - edits / len(notice.phrase))
         places = [at for at, _ in exact]
