@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,36 +64,53 @@ def flatten_documents(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _latest_version(spark: SparkSession, root: str) -> int:
+def _latest_commit(spark: SparkSession, root: str) -> tuple[int, str]:
+    """Version and folder of the last refresh; of writers with the same version one counts for all readers."""
     try:
-        commits = spark.read.schema("version long").parquet(f"{root}/commits")
-        return commits.agg(F.max("version")).first()[0] or 0
+        commits = spark.read.schema("version long, folder string").parquet(f"{root}/commits")
+        last = commits.agg(F.max(F.struct("version", "folder"))).first()[0]
     except Exception as error:  # no commit yet
-        if "PATH_NOT_FOUND" in str(error):
-            return 0
-        raise
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        last = None
+    return (last["version"], last["folder"]) if last else (0, "")
+
+
+def repeated_names(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``(level, name, n)``: names that occur more than once on their level."""
+    counts = [
+        df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(level).alias("level"), "name", "n")
+        for level, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def refresh_hierarchy(spark: SparkSession, tables: Mapping[str, DataFrame], root: str) -> int:
     """Replace all tables at once and return the new version.
 
-    The tables go into fresh folders; only the commit row, written last, makes
-    them current.  A job that fails on the way leaves the old tables in place.
+    The tables go into a folder of this writer's own; only the commit row,
+    written last, makes them current.  A job that fails on the way leaves the old
+    tables in place, and so does a name that is repeated on its level: it raises.
     """
-    version = _latest_version(spark, root) + 1
+    version, folder = _latest_commit(spark, root)[0] + 1, uuid.uuid4().hex
+    stored = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
-    commit = spark.range(1).select(F.lit(version).cast("long").alias("version"))
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/refresh={folder}")
+        stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}/refresh={folder}")
+    twice = repeated_names(stored).first()
+    if twice is not None:
+        raise ValueError(f"{twice['level']}: {twice['name']!r} occurs {twice['n']} times")
+    commit = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"))
     commit.write.mode("append").parquet(f"{root}/commits")
     return version
 
 
 def read_hierarchy(spark: SparkSession, root: str, levels: Sequence[str] = LEVELS) -> dict[str, DataFrame]:
     """The tables of the latest complete refresh."""
-    version = _latest_version(spark, root)
+    version, folder = _latest_commit(spark, root)
     if version == 0:
         raise FileNotFoundError(f"no committed hierarchy in {root}")
-    return {name: spark.read.parquet(f"{root}/{name}/version={version}") for name in levels}
+    return {name: spark.read.parquet(f"{root}/{name}/refresh={folder}") for name in levels}
 
 
 def append_entries(

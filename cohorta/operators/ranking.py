@@ -44,7 +44,7 @@ def add_ranks(
     group = [f"__by{i}" for i in range(len(by))]
     rows = rows.withColumns({g: as_column(c) for g, c in zip(group, by)}) if by else rows
     cuts = value_slices(rows, "__score", slices)
-    rows = _add_piece(cuts.assign(rows, "__score", "__slice"), cuts, row_id, slices)
+    rows = _add_piece(cuts.assign(rows, "__score", "__slice"), cuts, row_id)
 
     starts = _cell_starts(rows, group, cuts, with_distinct="dense" in methods)
 
@@ -81,20 +81,29 @@ def add_ranks(
     )
 
 
-def _add_piece(rows: DataFrame, cuts: Slices, row_id: str, slices: int | None) -> DataFrame:
-    """Split the rows of a frequent score into ``row_id`` ranges.
+def _add_piece(rows: DataFrame, cuts: Slices, row_id: str) -> DataFrame:
+    """Split the rows of each frequent score into ranges of its own ids.
 
-    Rows without a score need no order, so a hash of the id spreads them.
+    The bounds are quantiles of the ids that share the score, which may lie close
+    together among all ids.  There are fewer bounds than twice the slices.  Rows
+    without a score need no order, so a hash of the id spreads them.
     """
     spread = F.pmod(F.xxhash64(row_id), F.lit(cuts.count)).cast("int")
     if not cuts.heavy:
         return rows.withColumn("__piece", F.when(F.col("__score").isNull(), spread).otherwise(0))
-    ids = value_slices(rows, row_id, slices)
-    rows = ids.assign(rows, row_id, "__id_slice")
-    piece = F.floor(F.col("__id_slice") * cuts.pieces("__slice") / F.lit(ids.count)).cast("int")
-    return rows.withColumn(
-        "__piece", F.when(F.col("__score").isNull(), spread).otherwise(piece)
-    ).drop("__id_slice")
+    most = max(cuts.heavy.values())
+    points = F.percentile_approx(row_id, [i / most for i in range(1, most)], 4 * most)
+    # Of the points of the finest cut, as many as the score has pieces.
+    wanted = F.filter(
+        "points", lambda _, i: F.floor((i + 1) * F.col("n") / F.lit(most)) > F.floor(i * F.col("n") / F.lit(most))
+    )
+    hot = rows.where(cuts.is_heavy("__slice")).groupBy("__slice", cuts.pieces("__slice").alias("n"))
+    found = hot.agg(points.alias("points")).select("__slice", wanted.alias("points")).collect()
+    table = F.create_map(*[x for r in found for x in (F.lit(r["__slice"]), F.array(*map(F.lit, r["points"])))])
+    bounds = F.element_at(table, F.col("__slice"))
+    piece = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(row_id))), F.lit(0))
+    piece = F.when(cuts.is_heavy("__slice"), piece).otherwise(F.lit(0))
+    return rows.withColumn("__piece", F.when(F.col("__score").isNull(), spread).otherwise(piece))
 
 
 def _cell_starts(rows: DataFrame, group: list[str], cuts: Slices, with_distinct: bool) -> DataFrame:

@@ -110,12 +110,13 @@ def prefix_tree(node: Split | int, prefix: str) -> Split | int:
 
 
 def tree_decision(node: Split | int) -> Column:
-    """The 0/1 answer of a tree as one nested conditional."""
+    """The 0/1 answer of a tree as one nested conditional; null if a value on the way is null or NaN."""
     if isinstance(node, int):
         return F.lit(node)
-    return F.when(
-        as_column(node.feature) <= F.lit(float(node.threshold)), tree_decision(node.left)
-    ).otherwise(tree_decision(node.right))
+    value, threshold = as_column(node.feature), F.lit(float(node.threshold))
+    return F.when(value <= threshold, tree_decision(node.left)).when(
+        (value > threshold) & ~F.isnan(value), tree_decision(node.right)
+    )
 
 
 def standardised(term: Term) -> Column:
@@ -136,13 +137,11 @@ def standardise(df: DataFrame, terms: Sequence[Term], prefix: str = "z_") -> Dat
 
 
 def route(trees: Mapping[str, Split | int]) -> Column:
-    """Key of the linear model that scores the row."""
-    return (
-        F.when(tree_decision(trees["admission"]) == 0, F.lit("non_admi"))
-        .when(tree_decision(trees["session"]) == 0, F.lit("deuxieme_session"))
-        .when(tree_decision(trees["mention"]) == 0, F.lit("passable"))
-        .otherwise(F.lit("mention"))
-    )
+    """Key of the linear model that scores the row; null if a tree on the way has no answer."""
+    admission, session, mention = (tree_decision(trees[k]) for k in TREE_KEYS)
+    passed = F.when(mention == 0, F.lit("passable")).when(mention != 0, F.lit("mention"))
+    admitted = F.when(session == 0, F.lit("deuxieme_session")).when(session != 0, passed)
+    return F.when(admission == 0, F.lit("non_admi")).when(admission != 0, admitted)
 
 
 def score_batch(
@@ -153,18 +152,19 @@ def score_batch(
 ) -> DataFrame:
     """Append status, score and model of every row in one narrow projection.
 
-    A row that cannot be scored (no model for its route, or a required value
-    missing) is marked as an error and the others go on.
+    A row that cannot be scored (no model for its route, a required value
+    missing, or an input that its trees or its model need null or NaN) is marked
+    as an error and the others go on.
     """
     routed = df.withColumn("__route", route(cascade.trees))
-    usable = F.col("__route").isin(*cascade.models) if cascade.models else F.lit(False)
-    for name in required:
-        usable = usable & as_column(name).isNotNull()
     score = F.lit(None).cast("double")
     for key, model in cascade.models.items():
         score = F.when(F.col("__route") == key, linear_score(model)).otherwise(score)
     if digits is not None:
         score = rounded(score, digits)
+    usable = score.isNotNull() & ~F.isnan(score)
+    for name in required:
+        usable = usable & as_column(name).isNotNull()
     status = F.lit(None).cast("string")
     for key in cascade.models:
         status = F.when(F.col("__route") == key, F.lit(MODEL_STATUS[key])).otherwise(status)
@@ -207,7 +207,8 @@ def score_with_model_table(
 
     ``models`` has one row per key and feature: the keys, ``feature``, ``coef``,
     ``mean``, ``scale`` and ``intercept``.  It is turned into one row per key;
-    a feature the model does not use counts nothing.  No model, no score.
+    a feature the model does not use counts nothing.  No model, no score; nor
+    has a row with a null or NaN input of its model.
     A model with a feature that is not listed raises.
     """
     unlisted = models.where(~F.col("feature").isin(*features)).select("feature").first()
@@ -228,7 +229,7 @@ def score_with_model_table(
         coef = F.col(f"__coef{i}")
         score = score + F.when(coef.isNull(), F.lit(0.0)).otherwise(coef * z)
     score = rounded(score, digits) if digits is not None else score
-    return joined.withColumn(out, score).drop(*[c for c in wide.columns if c.startswith("__")])
+    return joined.withColumn(out, F.when(~F.isnan(score), score)).drop(*[c for c in wide.columns if c.startswith("__")])
 
 
 def score_by_cohort(

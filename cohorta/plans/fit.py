@@ -42,17 +42,22 @@ def _read_node(node, features: list[str]) -> Split | int:
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    inputs = [as_column(f).cast("double").alias(f) for f in features]
-    present = df.select("__label", *inputs)
-    return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip").transform(present)
+    filled = df.select("__label", *[_filled(f).alias(f) for f in features])
+    return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(filled)
+
+
+def _filled(feature: str) -> Column:
+    """Null and NaN count as 0, as they do when features are prepared: no training row is left out."""
+    value = as_column(feature).cast("double")
+    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
 
 def column_stats(rows: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> list:
     """Row count, and mean and population deviation of each feature, per group."""
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.avg(as_column(f)).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(as_column(f)).alias(f"s{i}") for i, f in enumerate(features)],
+        *[F.avg(_filled(f)).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.stddev_pop(_filled(f)).alias(f"s{i}") for i, f in enumerate(features)],
     ).collect()
 
 
@@ -72,7 +77,7 @@ def fit_linear(
     scales = [stats[f"s{i}"] or 1.0 for i in range(len(features))]
     scaled = rows.select(
         as_column(target).cast("double").alias("__label"),
-        *[((as_column(f) - m) / s).alias(f) for f, m, s in zip(features, means, scales)],
+        *[((_filled(f) - m) / s).alias(f) for f, m, s in zip(features, means, scales)],
     )
     model = LinearRegression(
         featuresCol="__x", labelCol="__label", elasticNetParam=1.0, regParam=penalty,

@@ -5,8 +5,10 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Mapping
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohorta import schema
@@ -30,6 +32,45 @@ TREE_TABLE_SCHEMA = (
 )
 
 
+def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files under ``path``, grouped by their first line.
+
+    Several files are looked through in one job, which reads the first block of
+    each; what comes back is one line per distinct header, and the file names.
+    """
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) <= 1:
+        first = lines.first()
+        if first is None:
+            raise ValueError(f"no header in {path}")
+        return {first["value"]: [path]}
+    firsts = (
+        lines.select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        .where("block = 0")
+        .groupBy("file")
+        .agg(F.min_by("value", "line").alias("header"))
+    )
+    found = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    # Names come back encoded as in an address; readers take plain ones, in which these signs are patterns.
+    return {
+        r["header"]: [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(f)) for f in r["files"]]
+        for r in sorted(found, key=lambda r: r["files"])
+    }
+
+
+def _typed(value: Column, kind: str) -> Column:
+    """A text as its column's type; null when it does not fit, so that no number is cut."""
+    if kind == "string":
+        return value
+    parsed = parse_number(value)
+    if kind != "int":
+        return parsed.cast(kind)
+    return F.when(parsed == F.rint(parsed), parsed.try_cast("int"))
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str,
@@ -39,11 +80,28 @@ def read_csv_table(
 ) -> DataFrame:
     """CSV with a header; columns are found by the header, renamed and typed.
 
-    Columns without an entry in ``names`` stay text under an ASCII form of their
-    name.  Blank-like texts are null; a number that does not parse is null.
+    Each file of a folder is read by its own header: columns may stand in
+    another order, and one that a file lacks is null there.  Columns without an
+    entry in ``names`` stay text under an ASCII form of their name.  Blank-like
+    texts are null, as is a number that does not parse or does not fit its type.
     ``row_id`` numbers the rows in file order.
     """
-    header = next(csv.reader([spark.read.text(path).first()["value"]]))
+    parts = [
+        _read_alike(spark, files, header, names, skip_initial_space)
+        for header, files in _files_by_header(spark, path).items()
+    ]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    order = ["__file", "__block", "__line"]
+    if row_id is None:
+        return raw.drop(*order)
+    return number_rows(raw, order, row_id, start=0).drop(*order)
+
+
+def _read_alike(
+    spark: SparkSession, files: list[str], header: str, names: Mapping[str, tuple[str, str]], skip_initial_space: bool
+) -> DataFrame:
+    """Files with the same header, and the place of each row."""
+    header = next(csv.reader([header]))
     if skip_initial_space:
         header = [h.lstrip() for h in header]
     fields = [names.get(h, (re.sub(r"\W+", "_", h.strip()).lower(), "string")) for h in header]
@@ -51,23 +109,18 @@ def read_csv_table(
         spark.read.schema(", ".join(f"`{name}` string" for name, _ in fields))
         .option("header", True)
         .option("ignoreLeadingWhiteSpace", skip_initial_space)
-        .csv(path)
+        .csv(files)
     )
     columns = []
     for name, kind in fields:
         value = F.when(~F.col(f"`{name}`").isin(*MISSING_TEXTS), F.col(f"`{name}`"))
-        if kind != "string":
-            value = parse_number(value).cast(kind)
-        columns.append(value.alias(name))
-    if row_id is None:
-        return raw.select(*columns)
+        columns.append(_typed(value, kind).alias(name))
     place = [
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__line"),
     ]
-    order = ["__file", "__block", "__line"]
-    return number_rows(raw.select(*columns, *place), order, row_id, start=0).drop(*order)
+    return raw.select(*columns, *place)
 
 
 def read_cohorts(spark: SparkSession, paths: Mapping[str, str], row_id: str = "row_id") -> DataFrame:

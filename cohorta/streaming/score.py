@@ -27,12 +27,17 @@ def score_stream(
 
     ``score`` is the same function batch tables use, with rank table and group
     means learned beforehand.  A batch owns one folder of the sink and replaces
-    it when it is retried, so each row comes out once.  All files present are
-    processed, then the query stops.
+    it when it is retried, so each row comes out once.  The folder also carries
+    the query's id, which stays with its checkpoint: a query with another
+    checkpoint adds to the sink.  All files present are processed, then the
+    query stops.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("the batch does not say which query it belongs to")
+        score(batch).write.mode("overwrite").parquet(f"{sink}/query_id={query}/batch_id={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(write)
@@ -44,4 +49,4 @@ def score_stream(
 
 def read_scored(spark: SparkSession, sink: str) -> DataFrame:
     """All rows scored so far."""
-    return spark.read.parquet(sink).drop("batch_id")
+    return spark.read.parquet(sink).drop("query_id", "batch_id")

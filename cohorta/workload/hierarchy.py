@@ -88,6 +88,22 @@ def hierarchy_refresh(spark, sf_dir):
     return _joined(H.read_hierarchy(spark, root))
 
 
+@query("""SELECT 'regions' AS level, r_name AS name, count(*) AS n FROM region GROUP BY r_name HAVING count(*) > 1
+UNION ALL
+SELECT 'academies', c_mktsegment, count(*) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
+GROUP BY c_mktsegment HAVING count(*) > 1
+UNION ALL
+SELECT 'residences', p_name, count(*) FROM part GROUP BY p_name HAVING count(*) > 1""")
+def hierarchy_duplicate_names(spark, sf_dir):
+    """Names that would make a refresh fail: market segments of several nations, parts of one name."""
+    segments = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("name")).distinct()
+    return H.repeated_names({
+        "regions": table(spark, sf_dir, "region").select(F.col("r_name").alias("name")),
+        "academies": segments,
+        "residences": table(spark, sf_dir, "part").select(F.col("p_name").alias("name")),
+    })
+
+
 @query("""WITH incoming AS (
   SELECT c_custkey AS seq, CASE WHEN c_custkey % 5 = 0 THEN 'Supplier#' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 9, '0')
          ELSE 'Place ' || CAST(c_custkey % 500 AS VARCHAR) END AS name,

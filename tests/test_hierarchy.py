@@ -104,3 +104,23 @@ def test_lookups(spark, tables):
     assert sorted((r["parent_id"], r["child_name"] or "") for r in kids.collect()) == [(1, "o"), (1, "p"), (2, "")]
     assert [r["id"] for r in H.unknown_parents(academies, tables["academies"]).collect()] == [9]
     assert H.count_tables(tables).first().asDict() == {"total_regions": 3, "total_academies": 3, "total_residences": 3}
+
+
+def test_refresh_rejects_a_name_under_two_parents(spark, tmp_path, tables):
+    root = str(tmp_path / "h")
+    H.refresh_hierarchy(spark, tables, root)
+    docs = spark.createDataFrame([(1, json.dumps({"R": {"A": ["x"]}, "S": {"A": ["y"]}}))], "doc long, text string")
+    with pytest.raises(ValueError, match="academies: 'A' occurs 2 times"):
+        H.refresh_hierarchy(spark, H.flatten_documents(docs), root)
+    assert H.read_hierarchy(spark, root)["academies"].count() == 3
+
+
+def test_two_writers_do_not_share_a_folder(spark, tmp_path, tables, monkeypatch):
+    root = str(tmp_path / "h")
+    few = {n: df.where("id = 1") for n, df in tables.items()}
+    # Both believe to be the first.
+    with monkeypatch.context() as patch:
+        patch.setattr(H, "_latest_commit", lambda *_: (0, ""))
+        assert [H.refresh_hierarchy(spark, t, root) for t in (tables, few)] == [1, 1]
+    counts = tuple(df.count() for df in H.read_hierarchy(spark, root).values())
+    assert counts in ((3, 3, 3), (1, 1, 1))

@@ -118,3 +118,17 @@ def test_deep_pages_are_ordered(spark, monkeypatch):
     monkeypatch.setattr(R, "TOP_K_ROWS", 10)
     df = spark.range(1000).withColumn("k", 999 - F.col("id"))
     assert [r["k"] for r in R.paginate(df, "k", 500, 300).collect()] == list(range(500, 800))
+
+
+def test_hot_scores_with_clustered_ids_are_split(spark):
+    # Two hot scores, each with neighbouring ids, among many others.
+    df = spark.range(40_000).select(
+        "id", F.when(F.col("id") < 8_000, 5.0).when(F.col("id") < 14_000, 6.0).otherwise(F.col("id") * 1.0).alias("s")
+    )
+    cuts = R.value_slices(df.withColumnRenamed("s", "__score"), "__score", 20)
+    placed = R._add_piece(cuts.assign(df.withColumnRenamed("s", "__score"), "__score", "__slice"), cuts, "id")
+    largest = placed.groupBy("__slice", "__piece").count().agg(F.max("count")).first()[0]
+    assert largest <= 3 * 40_000 / 20
+    got = {r["id"]: r["rank_first"] for r in R.add_ranks(df, "s", "id", methods=("first",), slices=20).collect()}
+    order = sorted(df.collect(), key=lambda r: (-r["s"], r["id"]))
+    assert got == {r["id"]: n for n, r in enumerate(order, 1)}

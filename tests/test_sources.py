@@ -78,3 +78,29 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     spark.range(3, 5).coalesce(1).write.mode("append").parquet(source)
     assert run() == [(0, 0), (1, 2), (2, 4), (3, 6), (4, 8)]
     assert len(run()) == 5
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    (folder / "a.csv").write_text("FR,MATH,Année BAC\n10,20,2017\n", encoding="utf-8")
+    (folder / "b.csv").write_text("MATH,FR\n7.5,8\n", encoding="utf-8")
+    df = tables.read_csv_table(spark, str(folder), row_id="row_id")
+    rows = [tuple(r) for r in df.select("row_id", "fr", "math", "annee_bac").orderBy("row_id").collect()]
+    assert rows == [(0, 10.0, 20.0, 2017), (1, 8.0, 7.5, None)]
+
+
+def test_numbers_that_do_not_fit_are_null(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("Année BAC,MATH\n17.5,17.5\n3000000000,1\nInfinity,2\n2018.0,3\n", encoding="utf-8")
+    df = tables.read_csv_table(spark, str(path), row_id="row_id").orderBy("row_id")
+    assert [tuple(r)[:2] for r in df.collect()] == [(None, 17.5), (None, 1.0), (None, 2.0), (2018, 3.0)]
+
+
+def test_two_queries_share_a_sink(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(2).coalesce(1).write.parquet(source)
+    for state in ("one", "two"):
+        arrivals = read_arrivals(spark, source, spark.range(1).schema)
+        score_stream(arrivals, lambda b: b, sink, str(tmp_path / state)).awaitTermination()
+    assert sorted(r["id"] for r in read_scored(spark, sink).collect()) == [0, 0, 1, 1]
