@@ -44,7 +44,7 @@ def add_ranks(
     group = [f"__by{i}" for i in range(len(by))]
     rows = rows.withColumns({g: as_column(c) for g, c in zip(group, by)}) if by else rows
     cuts = value_slices(rows, "__score", slices)
-    rows = _add_piece(cuts.assign(rows, "__score", "__slice"), cuts, row_id)
+    rows = _add_piece(cuts.assign(rows, "__score", "__slice"), cuts, row_id, slices)
 
     starts = _cell_starts(rows, group, cuts, with_distinct="dense" in methods)
 
@@ -81,7 +81,7 @@ def add_ranks(
     )
 
 
-def _add_piece(rows: DataFrame, cuts: Slices, row_id: str) -> DataFrame:
+def _add_piece(rows: DataFrame, cuts: Slices, row_id: str, slices: int | None) -> DataFrame:
     """Split the rows of each frequent score into ranges of its own ids.
 
     The bounds are quantiles of the ids that share the score, which may lie close
@@ -92,7 +92,7 @@ def _add_piece(rows: DataFrame, cuts: Slices, row_id: str) -> DataFrame:
     if not cuts.heavy:
         return rows.withColumn("__piece", F.when(F.col("__score").isNull(), spread).otherwise(0))
     most = max(cuts.heavy.values())
-    points = F.percentile_approx(row_id, [i / most for i in range(1, most)], 4 * most)
+    points = F.percentile_approx(row_id, [i / most for i in range(1, most)], 4 * max(most, slices or most))
     # Of the points of the finest cut, as many as the score has pieces.
     wanted = F.filter(
         "points", lambda _, i: F.floor((i + 1) * F.col("n") / F.lit(most)) > F.floor(i * F.col("n") / F.lit(most))

@@ -8,7 +8,7 @@ from cohorta import schema
 from cohorta.functions.scalar import as_column, number_or_zero, parse_number
 from cohorta.operators import features as P
 from cohorta.scratch import scratch_path
-from cohorta.sources.tables import read_csv_table, select_fields
+from cohorta.sources.tables import load_cohort, read_csv_table, select_fields
 from cohorta.workload.registry import query
 from cohorta.workload.tables import APPLICANTS, applicants, table
 
@@ -40,6 +40,27 @@ def scan_csv_cohort(spark, sf_dir):
     return back.withColumn("row_id", F.col("row_id").cast("long"))
 
 
+@query(f"""WITH {APPLICANTS},
+filled AS (SELECT * REPLACE (coalesce(residence, '0') AS residence, coalesce(academie, '0') AS academie,
+                             CASE WHEN row_id % 4 = 1 THEN 0 ELSE annee_bac END AS annee_bac) FROM applicants)
+SELECT row_id, annee_bac, moy_gle, {flags_sql(schema.COHORT_FLAGS)},
+       avg(moy_gle) OVER (PARTITION BY academie) AS academie_perf,
+       avg(moy_gle) OVER (PARTITION BY residence) AS residence_perf
+FROM filled""")
+def load_cohort_csv(spark, sf_dir):
+    """A cohort in files whose columns stand in two orders, some years no whole numbers: read and prepared."""
+    names = {"serie": "Série", "sexe": "Sexe", "mention": "Mention", "moy_gle": "Moy. Gle", "annee_bac": "Année BAC",
+             "academie": "Académie de l'Ets. Prov.", "residence": "Résidence"}
+    path = scratch_path(spark, "cohort-csv")
+    df = applicants(spark, sf_dir, ["row_id", *names])
+    year = F.when(F.col("row_id") % 4 == 1, F.col("annee_bac") + 0.5).otherwise(F.col("annee_bac"))
+    df = df.withColumn("annee_bac", year).withColumnsRenamed(names)
+    for rest, columns in enumerate((df.columns, df.columns[::-1])):
+        part = df.where(F.col("row_id") % 2 == rest).select(*map(as_column, columns))
+        part.write.mode("append").option("header", True).csv(path)
+    return load_cohort(spark, path).withColumn("row_id", F.col("row_id").cast("long"))
+
+
 @query("""SELECT c_custkey AS row_id, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS sexe,
 c_acctbal AS moy_gle, c_name AS residence, c_mktsegment AS etablissement FROM customer""")
 def rename_fields(spark, sf_dir):

@@ -19,7 +19,7 @@ from cohorta.plans import fit, predict
 from cohorta.plans.predict import score_applicants
 from cohorta.scratch import materialize, scratch_path
 from cohorta.sources.models import linear_table, load_cascade, tree_table
-from cohorta.sources.tables import read_model_tables, write_model_tables
+from cohorta.sources.tables import read_model_tables, read_rank_table, write_model_tables
 from cohorta.streaming.score import read_arrivals, read_scored, score_stream
 from cohorta.workload.registry import query
 from cohorta.workload.tables import (
@@ -222,9 +222,12 @@ def success_probability_v2(spark, sf_dir):
     return out.select("row_id", "rank", "orientation_probability", "success_probability")
 
 
-@query(f"""WITH {V2} SELECT row_id, status, score, orientation_probability, success_probability,
+PREDICT_V2 = f"""WITH {V2} SELECT row_id, status, score, orientation_probability, success_probability,
 {bands_sql(ADVICE_ORIENTATION, "orientation_probability")} AS orientation_probability_message,
-{bands_sql(ADVICE_SUCCESS, "success_probability")} AS success_probability_message FROM v2""")
+{bands_sql(ADVICE_SUCCESS, "success_probability")} AS success_probability_message FROM v2"""
+
+
+@query(PREDICT_V2)
 def predict_v2(spark, sf_dir):
     """The flagship: from applicants to both probabilities and messages."""
     return predict.predict_v2(
@@ -324,3 +327,35 @@ def stream_score(spark, sf_dir):
     sink = scratch_path(spark, "stream")
     score_stream(arrivals, score, sink, scratch_path(spark, "stream-state")).awaitTermination()
     return read_scored(spark, sink).select("row_id", "score", "rank", as_column("orientation_probability"))
+
+
+@query(PREDICT_V2)
+def stream_predict(spark, sf_dir):
+    """Applicants as arriving files: cascade, both probabilities and messages, as for a batch."""
+    folder = scratch_path(spark, "arrivals")
+    applicants(spark, sf_dir, INPUTS).write.parquet(folder)
+    ranks, capacity = materialize(rank_reference(spark, sf_dir), "ranks"), _capacity(spark, sf_dir)
+
+    def score(batch):
+        rows = score_applicants(batch, CASCADE, digits=DIGITS)
+        return predict.predict_v2(rows, ranks, "row_id", keep=["row_id"], capacity=capacity)
+
+    sink = scratch_path(spark, "stream")
+    arrivals = read_arrivals(spark, folder, spark.read.parquet(folder).schema)
+    score_stream(arrivals, score, sink, scratch_path(spark, "stream-state")).awaitTermination()
+    return read_scored(spark, sink)
+
+
+@query(f"""WITH {RANK_TABLE} SELECT row_id, score, coalesce(rank, 0) AS rank
+FROM (SELECT event_id AS row_id, value AS score FROM events) e
+ASOF LEFT JOIN ranks ON e.score >= ranks.table_score""")
+def rank_file_lookup(spark, sf_dir):
+    """Event values looked up in a rank file with a space before every value."""
+    path = scratch_path(spark, "rank-csv")
+    spaced = rank_reference(spark, sf_dir).select(
+        F.concat(F.lit(" "), F.col("score").cast("string")).alias("Score L1"),
+        F.concat(F.lit(" "), F.col("rank").cast("string")).alias(" Rang L1"),
+    )
+    spaced.write.options(header=True, ignoreLeadingWhiteSpace=False).csv(path)
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.col("value").alias("score"))
+    return predict.asof_lookup(events, read_rank_table(spark, path), "score", "score", "rank", "rank", "row_id")

@@ -126,7 +126,7 @@ def test_hot_scores_with_clustered_ids_are_split(spark):
         "id", F.when(F.col("id") < 8_000, 5.0).when(F.col("id") < 14_000, 6.0).otherwise(F.col("id") * 1.0).alias("s")
     )
     cuts = R.value_slices(df.withColumnRenamed("s", "__score"), "__score", 20)
-    placed = R._add_piece(cuts.assign(df.withColumnRenamed("s", "__score"), "__score", "__slice"), cuts, "id")
+    placed = R._add_piece(cuts.assign(df.withColumnRenamed("s", "__score"), "__score", "__slice"), cuts, "id", 20)
     largest = placed.groupBy("__slice", "__piece").count().agg(F.max("count")).first()[0]
     assert largest <= 3 * 40_000 / 20
     got = {r["id"]: r["rank_first"] for r in R.add_ranks(df, "s", "id", methods=("first",), slices=20).collect()}
