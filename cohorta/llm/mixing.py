@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from cohorta.llm.common import without
 from cohorta.scratch import materialize
@@ -63,7 +64,7 @@ def mix_sources(
     ``position`` gives the mixture. No row is left out: as long as every source has
     blocks the mixture is less than one block off its targets at each slot; when a
     source has ended its slots stay empty. Null is a source of its own. Rows with
-    equal or null keys are numbered in any order among themselves. An empty table
+    equal or null keys follow a hash of their plain columns. An empty table
     gives an empty one; input columns named like a result are replaced.
     """
     if block_rows < 1 or any(t < 1 for t in (targets or {}).values()):
@@ -98,7 +99,9 @@ def mix_sources(
     # At most PERIOD + MAX_SOURCES slots, or the sum of the given targets.
     pattern = materialize(pattern.toDF("__name", "__nth", "__slot", "__period", "__units"), "pattern")
 
-    rank = F.row_number().over(Window.partitionBy("__name", "__piece").orderBy("__order", key)) - 1
+    # Rows with one key are told apart by their other columns, so the order does not change from run to run.
+    plain = [f"`{c.name}`" for c in kept.schema.fields if isinstance(c.dataType, AtomicType)]
+    rank = F.row_number().over(Window.partitionBy("__name", "__piece").orderBy("__order", key, F.xxhash64(*plain))) - 1
     numbered = (
         named.withColumn("__rank", rank)
         .join(offsets, ["__name", "__piece"])

@@ -341,3 +341,27 @@ def test_pipeline(spark, docs, tmp_path):
 def test_pipeline_of_nothing(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_carries_the_mixture(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [
+        (k, " ".join(f"w{rng.randrange(500)}" for _ in range(30)), "en", "a" if k % 10 < 7 else "b" if k % 10 < 9 else "c", 1)
+        for k in range(400)
+    ]
+    # Part files of unlike sizes: they are not read again in the order of their names.
+    spark.createDataFrame(rows, DOCS).repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    final = corpus_pipeline.run(spark, str(tmp_path)).orderBy("position").collect()
+    assert len({r["position"] for r in final}) == len(final) > 300
+    done, seen = {}, {}
+    for r in final:
+        at = seen.setdefault(r["source"], 0)
+        seen[r["source"]] += 1
+        assert r["block"] == at // 4 and r["release"] <= r["slot"] < r["deadline"] and r["slot"] == r["position"] // 4
+        done.setdefault(r["source"], []).append(r["slot"])
+    # Square-root shares: no source runs ahead or behind by a block while all have rows.
+    root = {n: math.sqrt(len(s)) for n, s in done.items()}
+    last = min(max(s) for s in done.values())
+    for slot in range(last):
+        for n, slots in done.items():
+            assert abs(len({s for s in slots if s <= slot}) - (slot + 1) * root[n] / sum(root.values())) < 1.1
