@@ -44,7 +44,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = read_pieces(tokenizer_file("piece_bpe_32k.model"))
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces).drop("text")
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, whole=True).drop("text")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

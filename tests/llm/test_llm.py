@@ -23,7 +23,7 @@ from cohorta.llm.license_scan import Notice, NoticeSearch, scan_licenses
 from cohorta.llm.mixing import mix_sources
 from cohorta.llm.secret_scan import SecretScanner, redact, scan_secrets, text_spans
 from cohorta.llm.sharding import Permutation, locate, row_at, shard_rows
-from cohorta.llm.unigram_count import UnigramCounter, count_tokens, words_of
+from cohorta.llm.unigram_count import UnigramCounter, count_tokens, read_pieces, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VECS = "vec_id long, embedding array<float>, label int"
@@ -131,6 +131,41 @@ def test_unigram_counts(docs, none):
     assert count_tokens(none, pieces).count() == 0
 
 
+def plain_path(pieces, text):
+    """Best path over a whole text by trying every piece at every place; the longest last piece wins ties."""
+    line = "▁" + text.replace(" ", "▁") if text else ""
+    longest, least = max(map(len, pieces)), min(pieces.values()) - 10
+    best = [(0.0, 0)]
+    for end in range(1, len(line) + 1):
+        tried = [
+            (best[start][0] + pieces[line[start:end]], best[start][1] + 1)
+            for start in range(max(0, end - longest), end)
+            if line[start:end] in pieces
+        ]
+        if line[end - 1] not in pieces:
+            tried.append((best[-1][0] + least, best[-1][1] + len(line[end - 1].encode())))
+        best.append(max(tried, key=lambda x: x[0]))
+    return best[-1]
+
+
+def test_unigram_query_counts_whole_texts(spark, tmp_path):
+    rng = random.Random(11)
+    parts = ["the", "world", " ", "  ", "\n", "\t", "é", "中", "\U00012000", "▁", "\xa0", "Ünder", "licence", "0123", "x" * 70, "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += ["the world", "the  world", "a\n\nb", "\U00012000\U00012001", "", " ", "   \n"]
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)] + [(len(texts), None, "en", "a", 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(Q.op3_token_count(spark, str(tmp_path)))
+    pieces = dict(read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    for k, text in enumerate(texts):
+        assert (got[k]["path_score"], got[k]["n_tokens"]) == plain_path(pieces, text), text
+    assert got[len(texts)]["n_tokens"] == 0
+    counts = {t: got[k]["n_tokens"] for k, t in enumerate(texts)}
+    # As in the library, a second blank, line ends and the four bytes of each unlisted sign are tokens.
+    assert counts["the  world"] == counts["the world"] + 1 and counts["a\n\nb"] == 4
+    assert counts["\U00012000\U00012001"] == 9
+
+
 def plain_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
     if not words:
