@@ -256,21 +256,32 @@ def keep_one(
 ) -> DataFrame:
     """The row with the smallest id of each component, with all its columns.
 
-    Rows that repeat an id count as one document. A component of null ids only keeps
-    one of its rows.
+    A component keeps one row, whatever other components hold rows of the same id; if
+    that id repeats within it, the one with the least fingerprint. A component of null
+    ids only keeps one of its rows.
     """
     groups = near_duplicates(df, id_col, text, shingle, max_bits)
-    chosen = materialize(groups.where(f"`{id_col}` = component_id").select(F.col(id_col).alias("__keep")).distinct(), "kept")
-    # The chosen ids are distinct and stored, and the ids of the rows repeat little.
-    named = df.join(chosen, df[f"`{id_col}`"] == chosen["__keep"], "left_semi").dropDuplicates([id_col])
+    # One (id, fingerprint) per component; no two components share a fingerprint.
+    chosen = materialize(
+        groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+        .groupBy("group_bits")
+        .agg(F.min("component_id").alias("__keep"), F.min("fingerprint_bits").alias("__keep_bits"))
+        .drop("group_bits"),
+        "kept",
+    )
+
+    def own(rows: DataFrame) -> DataFrame:
+        return append_columns(
+            rows, text, "__bits long", lambda: lambda texts: [[signed(fingerprint(t, shingle)) for t in texts]]
+        )
+
+    # The chosen pairs are distinct and stored, and the rows of one pair are copies of one document.
+    rows = own(df)
+    same = (rows[f"`{id_col}`"] == chosen["__keep"]) & (rows["__bits"] == chosen["__keep_bits"])
+    named = rows.join(chosen, same, "left_semi").dropDuplicates([id_col, "__bits"]).drop("__bits")
     if df.where(F.col(id_col).isNull()).isEmpty():
         return named
-    lone = materialize(
-        groups.where(F.col(id_col).isNull() & F.col("component_id").isNull())
-        .select(F.col("fingerprint_bits").alias("__bits"), F.col("group_bits").alias("__group"))
-        .distinct(),
-        "lone",
-    )
-    nameless = fingerprints(df.where(F.col(id_col).isNull()), text, shingle)
-    rest = nameless.join(lone, F.col("fingerprint_bits") == F.col("__bits")).dropDuplicates(["__group"])
-    return named.unionByName(rest.select(*[f"`{c}`" for c in df.columns]))
+    nameless = own(df.where(F.col(id_col).isNull()))
+    lone = chosen.where("__keep IS NULL")
+    rest = nameless.join(lone, nameless["__bits"] == lone["__keep_bits"], "left_semi").dropDuplicates(["__bits"])
+    return named.unionByName(rest.drop("__bits"))

@@ -199,6 +199,20 @@ def test_simhash(docs, none):
     assert kept.count(None) == kept.count(8) == 1 and not {2, 4, 6, 7} & set(kept) and {1, 5, 10, 11} <= set(kept)
 
 
+def test_keep_one_of_each_component(spark):
+    rng = random.Random(21)
+    one, two, three, four = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "abcd")
+    rows = [
+        (1, one, "x"), (1, two, "y"),  # one id, two unlike texts: two documents
+        (2, three, "z"), (5, three, "copy"), (5, four, "own"),  # 5 is a copy here and alone there
+        (None, "alpha beta gamma delta", "n"), (None, "alpha beta gamma delta", "n"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint_bits string")
+    for parts in (1, 5):
+        got = simhash.keep_one(df.repartition(parts)).collect()
+        assert sorted(r["fingerprint_bits"] for r in got) == ["n", "own", "x", "y", "z"]
+
+
 @pytest.mark.parametrize("rows", [32, 512])
 def test_simhash_links(spark, monkeypatch, rows):
     """Small postings force every level of finer keys; the components stay those of all pairs."""
