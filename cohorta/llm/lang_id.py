@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from cohorta.llm.common import append_columns
 
 UNKNOWN = "und"
+# How many spreads below the middle a text may lie, the tenth percentile of a normal law in
+# spreads, and the n-grams that one character is part of (they are not independent).
+SPREADS, TENTH, GRAMS_OVERLAP = 6.0, 1.2816, 6
 # Characters hashed at once; longer texts go in overlapping windows.
 WINDOW = 1 << 20
 
@@ -143,11 +146,8 @@ def fit_language_model(
     )
 
 
-def score_texts(model: LanguageModel, texts: list) -> tuple[list, list]:
-    """Most probable language and its probability; ``und`` and 0 without a letter or without a model."""
-    languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    if not model.languages:
-        return languages, scores
+def _log_sums(model: LanguageModel, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the texts with a letter; for each its log probabilities without priors, n-grams and different n-grams."""
     dims = len(model.log_probs)
     rows, sizes, ids, counts = [], [], [], []
     for k, text in enumerate(texts):
@@ -158,11 +158,23 @@ def score_texts(model: LanguageModel, texts: list) -> tuple[list, list]:
             ids.append(where)
             counts.append(n)
     if not rows:
-        return languages, scores
+        return rows, np.zeros((0, len(model.languages))), np.zeros(0), np.zeros(0)
     # The batch as a sparse matrix: row starts, buckets, counts.
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    weights = model.log_probs[np.concatenate(ids)] * np.concatenate(counts)[:, None]
-    logs = np.add.reduceat(weights, starts, axis=0) + model.priors
+    counts = np.concatenate(counts)
+    weights = model.log_probs[np.concatenate(ids)] * counts[:, None]
+    return rows, np.add.reduceat(weights, starts, axis=0), np.add.reduceat(counts, starts), np.array(sizes)
+
+
+def score_texts(model: LanguageModel, texts: list) -> tuple[list, list]:
+    """Most probable language and its probability; ``und`` and 0 without a letter or without a model."""
+    languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if not model.languages:
+        return languages, scores
+    rows, logs, _, _ = _log_sums(model, texts)
+    if not rows:
+        return languages, scores
+    logs = logs + model.priors
     best = logs.argmax(axis=1)  # the first of equals: alphabetic
     sure = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
     for k, b, s in zip(rows, best, sure):
@@ -170,6 +182,82 @@ def score_texts(model: LanguageModel, texts: list) -> tuple[list, list]:
     return languages, scores
 
 
+@dataclass(frozen=True)
+class LanguageRange:
+    """By language of a model: middle and spread of its own texts' mean log probability, and the spread of one n-gram."""
+
+    middle: np.ndarray
+    spread: np.ndarray
+    gram_spread: np.ndarray
+
+    def least(self, language: np.ndarray, different: np.ndarray) -> np.ndarray:
+        """Least mean of a text of the language with so many different n-grams; short texts vary more."""
+        noise = GRAMS_OVERLAP * self.gram_spread[language] ** 2 / different
+        return self.middle[language] - SPREADS * np.sqrt(self.spread[language] ** 2 + noise)
+
+
+def fit_language_range(df: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> LanguageRange:
+    """What mean log probability per n-gram the labelled texts have in their own language.
+
+    The middle is the median, the spread comes from the tenth percentile, so a few
+    odd texts among the labelled ones do not widen the range.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {name: k for k, name in enumerate(shared.value.languages)}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                names = batch.column(1).to_pylist()
+                rows, logs, n, _ = _log_sums(shared.value, batch.column(0).to_pylist())
+                own = [place[names[k]] for k in rows]
+                mean = logs[np.arange(len(rows)), own] / n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.int32()), pa.array(mean, pa.float64())], names=["language", "mean"]
+                )
+
+    known = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
+    found = (
+        known.mapInArrow(means, "language int, mean double")
+        .groupBy("language")
+        .agg(F.percentile_approx("mean", [0.1, 0.5], 10_000).alias("q"))
+        .collect()  # a row per language
+    )
+    middle, spread = np.full(len(model.languages), np.inf), np.zeros(len(model.languages))
+    for r in found:
+        middle[r["language"]], spread[r["language"]] = r["q"][1], (r["q"][1] - r["q"][0]) / TENTH
+    p = np.exp(model.log_probs)
+    mean = (p * model.log_probs).sum(axis=0)
+    return LanguageRange(middle, spread, np.sqrt((p * (model.log_probs - mean) ** 2).sum(axis=0)))
+
+
+def keep_known_languages(df: DataFrame, model: LanguageModel, known: LanguageRange, text: str = "text") -> DataFrame:
+    """Append ``in_language``: whether a text is like the labelled texts of its most probable language.
+
+    The measure is per n-gram, so neither long texts of a language that was never
+    learned nor letter junk pass by their length. Texts without a letter do not pass.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((model, known))
+
+    def make():
+        model, known = shared.value
+
+        def compute(texts: list) -> list:
+            passed = [False] * len(texts)
+            rows, logs, n, different = _log_sums(model, texts)
+            if rows:
+                best = (logs + model.priors).argmax(axis=1)
+                mean = logs[np.arange(len(rows)), best] / n
+                for k, ok in zip(rows, mean >= known.least(best, different)):
+                    passed[k] = bool(ok)
+            return [passed]
+
+        return compute
+
+    return append_columns(df, text, "in_language boolean", make, batch=128)
+
+
 def identify_language(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Append ``lang_pred`` and ``score``; every row stays.
 

@@ -80,6 +80,27 @@ def test_heldout_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
 
 
+def test_pipeline_leaves_out_unlearned_languages(spark):
+    learned = Q.table(spark, "/root/testdata/sf0.001", "documents").where("lang IS NOT NULL AND n_chars > 200")
+    learned = learned.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"))
+    own = learned.collect()
+    rng = random.Random(4)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki. "
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    bad = [finnish * 20, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 20, junk, "12 34 !?", "", None]
+    short = [" ".join(re.findall(r"[^\W\d_]+", r["text"])[:3]) for r in own[:40]]
+    planted = [(-1 - k, t, None, "a", 1) for k, t in enumerate(bad)] + [(-100 - k, t, None, "a", 1) for k, t in enumerate(short)]
+    kept = corpus_pipeline.language_id(spark, learned.unionByName(spark.createDataFrame(planted, DOCS)), "")
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not {-1 - k for k in range(len(bad))} & ids
+    assert {-100 - k for k in range(len(short))} <= ids
+    assert len({r["doc_id"] for r in own} & ids) >= 0.97 * len(own)
+    # Without a labelled row, texts with a letter stay.
+    bare = spark.createDataFrame(planted, DOCS)
+    stay = {r["doc_id"] for r in corpus_pipeline.language_id(spark, bare, "").collect()}
+    assert stay == {r[0] for r in planted} - {-4, -5, -6}
+
+
 def edits(a, b):
     """Least edits between ``a`` and any part of ``b``."""
     row = [0] * (len(b) + 1)
