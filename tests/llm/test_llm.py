@@ -367,6 +367,36 @@ def test_mixing(spark, docs, none):
     assert mix_sources(none).count() == 0 and mix_sources(docs).count() == docs.count()
 
 
+def test_mixing_keeps_unrounded_shares(spark, monkeypatch):
+    """Many one-row sources beside large ones; chunks give the slots of one run over all blocks."""
+    monkeypatch.setattr("cohorta.llm.mixing.CHUNK", 37)
+    monkeypatch.setattr("cohorta.llm.mixing.LONGEST_CHUNK", 37)
+    sizes = {"hot": 6000, "mid": 777, "low": 90} | {f"s{k:03}": 1 for k in range(40)}
+    rows = [(f"{n}-{k}", n) for n, size in sizes.items() for k in range(size)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id string, source string"), block_rows=4).collect()
+    assert len(got) == len(rows) and len({r["position"] for r in got}) == len(rows)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    whole = sum(math.sqrt(size) for size in sizes.values())
+    for r in got:
+        share = math.sqrt(sizes[r["source"]]) / whole
+        assert abs(r["release"] - r["block"] / share) <= 1.001 and abs(r["deadline"] - (r["block"] + 1) / share) <= 1.001
+    # Earliest deadline first, slot by slot.
+    names, done = sorted(sizes), dict.fromkeys(sizes, 0)
+    slots = {(r["source"], r["block"]): r["slot"] for r in got}
+    units = {n: round(math.sqrt(sizes[n]) * 2**30) for n in names}
+    w = sum(units.values())
+    for t in range(max(slots.values()) + 1):
+        _, n = min((-(-(done[n] + 1) * w // units[n]), n) for n in names if done[n] * w // units[n] <= t)
+        assert slots.get((n, done[n]), t) == t
+        done[n] += 1
+
+
+def test_mixing_of_many_sources(spark):
+    rows = [(k, f"s{k % 1200}") for k in range(1300)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert len(got) == 1300 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 24, 1000, 4097])
 def test_permutation(n):
     p = Permutation(n, seed=9)
