@@ -13,6 +13,7 @@ from cohorta.llm.common import table
 from cohorta.llm.exact_topk import exact_top_k
 from cohorta.llm.lang_id import fit_language_model, identify_language
 from cohorta.llm.license_scan import scan_licenses
+from cohorta.llm.line_dedup import dedup_lines
 from cohorta.llm.mixing import mix_sources
 from cohorta.llm.secret_scan import RULES, scan_secrets
 from cohorta.llm.sharding import shard_rows
@@ -129,11 +130,41 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten documents or more share."""
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_documents=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, list_transform(string_split(coalesce(text, ''), chr(10)),
+    lambda s: translate(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys,
+    string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS r
+  FROM documents
+),
+many AS (
+  SELECT key FROM (SELECT r, unnest(list_distinct(keys)) AS key FROM l) WHERE length(key) >= 1
+  GROUP BY key HAVING count(*) >= 10
+),
+e AS (SELECT r, unnest(lines) AS line, unnest(keys) AS key, generate_subscripts(keys, 1) AS i FROM l),
+m AS (SELECT e.*, many.key IS NOT NULL AS gone FROM e LEFT JOIN many ON e.key = many.key),
+a AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM m GROUP BY r
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256
+FROM a JOIN l USING (r)
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_license_scan, op3_token_count, op4_simhash, op5_exact_topk,
-        op6_bpe, op7_secret_scan, op8_mixing, op9_ann, op10_sharding,
+        op6_bpe, op7_secret_scan, op8_mixing, op9_ann, op10_sharding, op11_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op5_exact_topk": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_exact_topk": OP5_SQL, "op11_line_dedup": OP11_SQL}
