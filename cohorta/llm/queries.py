@@ -11,6 +11,7 @@ from cohorta.llm.ann_tree import nearest_neighbours
 from cohorta.llm.bpe import encode_and_decode
 from cohorta.llm.common import table
 from cohorta.llm.exact_topk import exact_top_k
+from cohorta.llm.hard_negatives import mine_hard_negatives
 from cohorta.llm.lang_id import fit_language_model, identify_language
 from cohorta.llm.license_scan import scan_licenses
 from cohorta.llm.line_dedup import dedup_lines
@@ -160,11 +161,42 @@ FROM a JOIN l USING (r)
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with labels moved on by one on every seventh."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+  WHERE place <= 5
+),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_license_scan, op3_token_count, op4_simhash, op5_exact_topk,
         op6_bpe, op7_secret_scan, op8_mixing, op9_ann, op10_sharding, op11_line_dedup,
+        op13_hard_negatives,
     )
 }
-ORACLES: dict[str, str] = {"op5_exact_topk": OP5_SQL, "op11_line_dedup": OP11_SQL}
+ORACLES: dict[str, str] = {"op5_exact_topk": OP5_SQL, "op11_line_dedup": OP11_SQL, "op13_hard_negatives": OP13_SQL}
