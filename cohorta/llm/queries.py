@@ -20,6 +20,7 @@ from cohorta.llm.secret_scan import RULES, scan_secrets
 from cohorta.llm.sharding import shard_rows
 from cohorta.llm.simhash import near_duplicates
 from cohorta.llm.unigram_count import count_tokens, read_pieces
+from cohorta.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +162,13 @@ FROM a JOIN l USING (r)
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors on the 16 leading components, scaled to unit variance; a deviation beyond a long is null."""
+    found = whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64.0, offset=1_000_000)
+    deviation = F.when(F.col("deviation") < 2**63, F.col("deviation")).cast("long")
+    return found.withColumn("deviation", deviation).withColumnRenamed("id", "vec_id")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, with labels moved on by one on every seventh."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -196,7 +204,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language_id, op2_license_scan, op3_token_count, op4_simhash, op5_exact_topk,
         op6_bpe, op7_secret_scan, op8_mixing, op9_ann, op10_sharding, op11_line_dedup,
-        op13_hard_negatives,
+        op12_whitening, op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {"op5_exact_topk": OP5_SQL, "op11_line_dedup": OP11_SQL, "op13_hard_negatives": OP13_SQL}
