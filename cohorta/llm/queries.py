@@ -165,8 +165,7 @@ FROM a JOIN l USING (r)
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable vectors on the 16 leading components, scaled to unit variance; a deviation beyond a long is null."""
     found = whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64.0, offset=1_000_000)
-    deviation = F.when(F.col("deviation") < 2**63, F.col("deviation")).cast("long")
-    return found.withColumn("deviation", deviation).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("long")).withColumnRenamed("id", "vec_id")
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
