@@ -128,13 +128,13 @@ def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, text: str = "text", id_col:
         & (key2 == F.col("__bits.key2"))
     )
     lines, dropped = _lines(F.col("__doc")[text]), F.col("__bits.dropped")
-    cleaned = docs.join(found, same, "left").select(
-        *[F.col("__doc")[c].alias(c) for c in kept.columns],
+    joined = docs.join(found, same, "left").select(
+        "__doc",
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.col("__bits.n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(dropped.isNull(), F.coalesce(F.col("__doc")[text], F.lit(""))).otherwise(_kept(lines, dropped)).alias("kept_text"),
     )
-    return cleaned
+    return joined.select("__doc.*", "n_lines", "n_dropped", "kept_text")
 
 
 def dedup_lines(
