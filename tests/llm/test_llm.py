@@ -320,11 +320,27 @@ def test_bpe(docs, none):
         ids = real.encode(text or "", add_special_tokens=False).ids
         assert codec.encode(text) == ids
         assert codec.decode(ids) == real.decode(ids, skip_special_tokens=False)
+    # Every character alone, beside letters, twice; and mixes of those whose tables differ.
+    rng = random.Random(1)
+    texts = [f"a{chr(i)}1{chr(i)}" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    some = [*sorted(codec.tables.odd), *"aZ é'\u0323\u0301Σİ\x1c\t", "<|startoftext|>"]
+    texts += ["".join(rng.choice(some) for _ in range(12)) for _ in range(5000)]
+    assert all(codec.encode(t) == e.ids for t, e in zip(texts, real.encode_batch(texts, add_special_tokens=False)))
     coded = decode_ids(encode_texts(docs, path), path)
     assert by_id(coded)[5]["token_ids"] == [] and by_id(coded)[5]["decoded"] == ""
     assert encode_texts(none, path).count() == 0
 
 
+def test_bpe_memory_is_renewed():
+    from cohorta.llm.bpe import Memory
+
+    asked = []
+    memory = Memory(lambda w: asked.append(w) or (w,), words=3)
+    for word in "abcab" + "de" + "a" * 5:
+        assert memory[word] == (word,)
+    assert asked == list("abcde") and len(memory) + len(memory.aside) <= 6
+
+
 def plain_secrets(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(2)) >= 6]
