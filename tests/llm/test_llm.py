@@ -322,7 +322,7 @@ def test_bpe(docs, none):
         assert codec.decode(ids) == real.decode(ids, skip_special_tokens=False)
     # Every character alone, beside letters, twice; and mixes of those whose tables differ.
     rng = random.Random(1)
-    texts = [f"a{chr(i)}1{chr(i)}" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{chr(i)}1{chr(i)}" for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x34000 or i >> 12 == 0xE0 or i % 97 == 0)]
     some = [*sorted(codec.tables.odd), *"aZ é'\u0323\u0301Σİ\x1c\t", "<|startoftext|>"]
     texts += ["".join(rng.choice(some) for _ in range(12)) for _ in range(5000)]
     assert all(codec.encode(t) == e.ids for t, e in zip(texts, real.encode_batch(texts, add_special_tokens=False)))
