@@ -20,6 +20,7 @@ from cohorta.functions.scalar import (
     rounded,
 )
 from cohorta.operators.features import require_columns
+from cohorta.operators.trees import TreeArrays
 from cohorta.scratch import materialize
 
 # Status that belongs to each linear model.
@@ -31,8 +32,8 @@ MODEL_STATUS = {
 }
 TREE_KEYS = ("admission", "session", "mention")
 
-# A model table with more rows than this is joined instead of broadcast.
-MODEL_TABLE_ROWS = 10_000
+# A model table of more bytes than this is joined instead of broadcast.
+MODEL_TABLE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,10 @@ class Split:
     right: Split | int
 
 
+# A small tree is a nested conditional, a large one a set of arrays.
+Tree = Split | TreeArrays | int
+
+
 @dataclass(frozen=True)
 class Term:
     feature: str
@@ -69,7 +74,7 @@ class LinearModel:
 class Cascade:
     """Three trees that route a row, and one linear model per route."""
 
-    trees: Mapping[str, Split | int]
+    trees: Mapping[str, Tree]
     models: Mapping[str, LinearModel]
 
     def __post_init__(self) -> None:
@@ -95,24 +100,30 @@ class Cascade:
         return Cascade(trees, models)
 
 
-def split_features(node: Split | int) -> set[str]:
+def split_features(node: Tree) -> set[str]:
     if isinstance(node, int):
         return set()
+    if isinstance(node, TreeArrays):
+        return set(node.features)
     return {node.feature} | split_features(node.left) | split_features(node.right)
 
 
-def prefix_tree(node: Split | int, prefix: str) -> Split | int:
+def prefix_tree(node: Tree, prefix: str) -> Tree:
     if isinstance(node, int):
         return node
+    if isinstance(node, TreeArrays):
+        return node.prefixed(prefix)
     return Split(
         prefix + node.feature, node.threshold, prefix_tree(node.left, prefix), prefix_tree(node.right, prefix)
     )
 
 
-def tree_decision(node: Split | int) -> Column:
-    """The 0/1 answer of a tree as one nested conditional; null if a value on the way is null or NaN."""
+def tree_decision(node: Tree) -> Column:
+    """The 0/1 answer of a tree, as one expression; null if a value on the way is null or NaN."""
     if isinstance(node, int):
         return F.lit(node)
+    if isinstance(node, TreeArrays):
+        return node.decision()
     value, threshold = as_column(node.feature), F.lit(float(node.threshold))
     return F.when(value <= threshold, tree_decision(node.left)).when(
         (value > threshold) & ~F.isnan(value), tree_decision(node.right)
@@ -136,7 +147,7 @@ def standardise(df: DataFrame, terms: Sequence[Term], prefix: str = "z_") -> Dat
     return df.withColumns({prefix + t.feature: standardised(t) for t in terms})
 
 
-def route(trees: Mapping[str, Split | int]) -> Column:
+def route(trees: Mapping[str, Tree]) -> Column:
     """Key of the linear model that scores the row; null if a tree on the way has no answer."""
     admission, session, mention = (tree_decision(trees[k]) for k in TREE_KEYS)
     passed = F.when(mention == 0, F.lit("passable")).when(mention != 0, F.lit("mention"))
@@ -201,7 +212,7 @@ def score_with_model_table(
     keys: Sequence[str],
     out: str = "Score_Predit",
     digits: int | None = None,
-    max_broadcast_rows: int = MODEL_TABLE_ROWS,
+    max_broadcast_bytes: int = MODEL_TABLE_BYTES,
 ) -> DataFrame:
     """Score each row with the linear model its key columns select.
 
@@ -209,17 +220,20 @@ def score_with_model_table(
     ``mean``, ``scale`` and ``intercept``.  It is turned into one row per key;
     a feature the model does not use counts nothing.  No model, no score; nor
     has a row with a null or NaN input of its model.
-    A model with a feature that is not listed raises.
+    A model with a feature that is not listed raises.  ``models`` is computed once.
     """
-    unlisted = models.where(~F.col("feature").isin(*features)).select("feature").first()
-    if unlisted is not None:
-        raise ValueError(f"a model uses a feature that is not listed: {unlisted['feature']!r}")
-    picked = [F.first("intercept").alias("__b")]
+    unlisted = F.min(F.when(~F.col("feature").isin(*features), F.col("feature")))
+    picked = [F.first("intercept").alias("__b"), unlisted.alias("__unlisted")]
     for i, name in enumerate(features):
         here = F.col("feature") == name
         picked += [F.max(F.when(here, F.col(c))).alias(f"__{c}{i}") for c in ("coef", "mean", "scale")]
     wide = materialize(models.groupBy(*keys).agg(*picked), "models")
-    if wide.count() <= max_broadcast_rows:
+    found = wide.agg(F.count(F.lit(1)).alias("n"), F.min("__unlisted").alias("unlisted")).first()
+    if found["unlisted"] is not None:
+        raise ValueError(f"a model uses a feature that is not listed: {found['unlisted']!r}")
+    wide = wide.drop("__unlisted")
+    # A fixed part for a row's keys, and eight bytes for each number.
+    if found["n"] * (64 + 8 * len(wide.columns)) <= max_broadcast_bytes:
         wide = F.broadcast(wide)
     joined = df.join(wide, list(keys), "left")
     score = F.col("__b")
@@ -234,7 +248,7 @@ def score_with_model_table(
 
 def score_by_cohort(
     df: DataFrame,
-    trees: Mapping[str, Split | int],
+    trees: Mapping[str, Tree],
     models: DataFrame,
     features: Sequence[str],
     cohort: str = "cohort",

@@ -42,11 +42,11 @@ def _read_node(node, features: list[str]) -> Split | int:
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    filled = df.select("__label", *[_filled(f).alias(f) for f in features])
-    return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(filled)
+    rows = df.select("__label", *[filled(f).alias(f) for f in features])
+    return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(rows)
 
 
-def _filled(feature: str) -> Column:
+def filled(feature: str) -> Column:
     """Null and NaN count as 0, as they do when features are prepared: no training row is left out."""
     value = as_column(feature).cast("double")
     return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
@@ -56,8 +56,8 @@ def column_stats(rows: DataFrame, features: Sequence[str], by: Sequence[str] = (
     """Row count, and mean and population deviation of each feature, per group."""
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.avg(_filled(f)).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(_filled(f)).alias(f"s{i}") for i, f in enumerate(features)],
+        *[F.avg(filled(f)).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.stddev_pop(filled(f)).alias(f"s{i}") for i, f in enumerate(features)],
     ).collect()
 
 
@@ -77,7 +77,7 @@ def fit_linear(
     scales = [stats[f"s{i}"] or 1.0 for i in range(len(features))]
     scaled = rows.select(
         as_column(target).cast("double").alias("__label"),
-        *[((_filled(f) - m) / s).alias(f) for f, m, s in zip(features, means, scales)],
+        *[((filled(f) - m) / s).alias(f) for f, m, s in zip(features, means, scales)],
     )
     model = LinearRegression(
         featuresCol="__x", labelCol="__label", elasticNetParam=1.0, regParam=penalty,
@@ -90,6 +90,18 @@ def fit_linear(
     return LinearModel(float(model.intercept), terms)
 
 
+def route_of(labels: Mapping[str, Column]) -> Column:
+    """Key of the linear model that a row with known outcomes belongs to; null where a label on the way is."""
+    admitted = labels["admission"] == 1
+    first_session = admitted & (labels["session"] == 1)
+    return (
+        F.when(labels["admission"] == 0, "non_admi")
+        .when(admitted & (labels["session"] == 0), "deuxieme_session")
+        .when(first_session & (labels["mention"] == 0), "passable")
+        .when(first_session & (labels["mention"] == 1), "mention")
+    )
+
+
 def fit_cascade(
     df: DataFrame,
     tree_inputs: Sequence[str],
@@ -107,12 +119,7 @@ def fit_cascade(
     """
     admitted = labels["admission"] == 1
     first_session = admitted & (labels["session"] == 1)
-    route = (
-        F.when(labels["admission"] == 0, "non_admi")
-        .when(admitted & (labels["session"] == 0), "deuxieme_session")
-        .when(first_session & (labels["mention"] == 0), "passable")
-        .when(first_session & (labels["mention"] == 1), "mention")
-    )
+    route = route_of(labels)
     inputs = sorted({*tree_inputs, *model_inputs})
     training = materialize(
         df.select(

@@ -7,11 +7,16 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohorta.operators.scoring import MODEL_STATUS, TREE_KEYS, Cascade, LinearModel, Split, Term
+from cohorta.operators.scoring import MODEL_STATUS, TREE_KEYS, Cascade, LinearModel, Split, Term, Tree
+from cohorta.operators.trees import TreeArrays
 from cohorta.sources.tables import MODEL_TABLE_SCHEMA, TREE_TABLE_SCHEMA, read_model_tables
 
-# Parameters become expressions in the plan; larger models belong in MLlib.
+# Coefficients become expressions in the plan; larger sets are joined as a table.
 MAX_PARAMETERS = 5_000
+# Trees of up to so many nodes become conditionals, larger ones arrays; all trees of a
+# cascade together may have so many nodes in the driver and the plan.
+MAX_SPLITS = 255
+MAX_NODES = 1_000_000
 
 
 def linear_rows(models: Mapping[str, LinearModel], cohort: str | None = None) -> list[tuple]:
@@ -29,7 +34,7 @@ def linear_table(spark: SparkSession, models: Mapping[str, LinearModel], cohort:
     return spark.createDataFrame(linear_rows(models, cohort), MODEL_TABLE_SCHEMA)
 
 
-def tree_rows(trees: Mapping[str, Split | int]) -> list[tuple]:
+def tree_rows(trees: Mapping[str, Tree]) -> list[tuple]:
     """Rows of the tree table: nodes numbered from the root (0) down."""
     rows: list[tuple] = []
 
@@ -42,24 +47,28 @@ def tree_rows(trees: Mapping[str, Split | int]) -> list[tuple]:
         return add(key, node.right, right, add(key, node.left, left, free + 2))
 
     for key, root in trees.items():
-        add(key, root, 0, 1)
+        if isinstance(root, TreeArrays):
+            rows += [(key, *row.values()) for row in root.rows()]
+        else:
+            add(key, root, 0, 1)
     return rows
 
 
-def tree_table(spark: SparkSession, trees: Mapping[str, Split | int]) -> DataFrame:
+def tree_table(spark: SparkSession, trees: Mapping[str, Tree]) -> DataFrame:
     return spark.createDataFrame(tree_rows(trees), TREE_TABLE_SCHEMA)
 
 
-def _bounded_rows(table: DataFrame) -> list:
-    rows = table.limit(MAX_PARAMETERS + 1).collect()
-    if len(rows) > MAX_PARAMETERS:
-        raise ValueError("too many parameters for expressions: join the model table instead")
+def _bounded_rows(table: DataFrame, most: int, otherwise: str) -> list:
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} parameters: {otherwise}")
     return rows
 
 
-def trees_from_table(table: DataFrame) -> dict[str, Split | int]:
+def trees_from_table(table: DataFrame) -> dict[str, Tree]:
+    """Small trees as conditionals, large ones as arrays."""
     nodes: dict[str, dict[int, object]] = {}
-    for row in _bounded_rows(table):
+    for row in _bounded_rows(table, MAX_NODES, "walk the table itself with score_tree_table"):
         nodes.setdefault(row["model_key"], {})[row["node"]] = row
 
     def build(key: str, number: int) -> Split | int:
@@ -68,12 +77,14 @@ def trees_from_table(table: DataFrame) -> dict[str, Split | int]:
             return row["prediction"]
         return Split(row["feature"], row["threshold"], build(key, row["left"]), build(key, row["right"]))
 
-    return {key: build(key, 0) for key in nodes}
+    return {
+        key: build(key, 0) if len(rows) <= MAX_SPLITS else TreeArrays.from_nodes(rows.values()) for key, rows in nodes.items()
+    }
 
 
 def models_from_table(table: DataFrame) -> dict[str, LinearModel]:
     by_key: dict[str, list] = {}
-    for row in _bounded_rows(table):
+    for row in _bounded_rows(table, MAX_PARAMETERS, "score with score_with_model_table"):
         by_key.setdefault(row["model_key"], []).append(row)
     models = {}
     for key, rows in by_key.items():

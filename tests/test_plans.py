@@ -64,7 +64,7 @@ def test_hot_key_is_split_when_models_are_joined(hot):
         "k", F.lit("v").alias("feature"), F.lit(2.0).alias("coef"), F.lit(0.0).alias("mean"),
         F.lit(1.0).alias("scale"), F.lit(1.0).alias("intercept"),
     ).distinct()
-    out = score_with_model_table(hot, models, ["v"], ["k"], max_broadcast_rows=0)
+    out = score_with_model_table(hot, models, ["v"], ["k"], max_broadcast_bytes=0)
     assert "skew=true" in final_plan(out)
     assert out.where("Score_Predit = 3.0").count() == 200_000
 

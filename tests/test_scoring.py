@@ -64,14 +64,14 @@ def test_global_model_needs_its_columns(applicants):
         M.global_linear_score(applicants, model)
 
 
-@pytest.mark.parametrize("rows", [0, 100])
-def test_model_table_joined_or_broadcast(spark, rows):
+@pytest.mark.parametrize("size", [0, 1 << 20])
+def test_model_table_joined_or_broadcast(spark, size):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0), ("c", 1.0, 2.0)], "cohort string, x double, y double")
     table = spark.createDataFrame(
         [("a", "x", 2.0, 0.0, 1.0, 5.0), ("a", "y", 1.0, 1.0, 2.0, 5.0), ("b", "y", 10.0, 0.0, 1.0, 0.0)],
         "cohort string, feature string, coef double, mean double, scale double, intercept double",
     )
-    out = M.score_with_model_table(df, table, ["x", "y"], ["cohort"], max_broadcast_rows=rows)
+    out = M.score_with_model_table(df, table, ["x", "y"], ["cohort"], max_broadcast_bytes=size)
     assert out.columns == ["cohort", "x", "y", "Score_Predit"]
     assert {r["cohort"]: r["Score_Predit"] for r in out.collect()} == {"a": 7.5, "b": 20.0, "c": None}
 
