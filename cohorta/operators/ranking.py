@@ -8,12 +8,17 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, DecimalType, LongType, TimestampNTZType, TimestampType
 
 from cohorta.functions.scalar import as_column, one_zero
 from cohorta.operators.slicing import Slices, number_rows, value_slices
+from cohorta.scratch import materialize
 
 TIE_METHODS = ("average", "first", "min", "max", "dense")
 
+# Ordered types whose values a double may confuse: they are ranked as they are.
+OWN_ORDER = (LongType, DecimalType, DateType, TimestampType, TimestampNTZType, BooleanType)
+
 # Below this many rows a page is a plain top-k; deeper pages go by row number.
 TOP_K_ROWS = 10_000
 
@@ -35,10 +40,15 @@ def add_ranks(
     slice, and a score shared by very many rows is split further by ``row_id``.
     The input is read three times (slice bounds, slice sizes, rows), so write a
     costly one to a table first.
+
+    Whole numbers of 64 bits, decimals, dates, times and booleans are compared in their
+    own type, other scores as doubles (a text as the number it holds).
     """
     unknown = set(methods) - set(TIE_METHODS)
     if unknown:
         raise ValueError(f"unknown tie methods: {sorted(unknown)}")
+    if isinstance(df.select(as_column(score)).schema[0].dataType, OWN_ORDER):
+        return _rank_by_value(df, score, row_id, by, methods, prefix)
     rows = df.withColumn("__score", as_column(score).cast("double"))
     rows = rows.withColumn("__score", F.when(~F.isnan("__score"), one_zero(F.col("__score"))))
     group = [f"__by{i}" for i in range(len(by))]
@@ -138,6 +148,62 @@ def _cell_starts(rows: DataFrame, group: list[str], cuts: Slices, with_distinct:
     return starts.drop("__n", "__distinct", "__scores")
 
 
+def _rank_by_value(
+    df: DataFrame, score: str, row_id: str, by: Sequence[str], methods: Sequence[str], prefix: str
+) -> DataFrame:
+    """Rank distinct values, which have no ties, and give every row the ranks of its value.
+
+    Values are counted first, so a frequent one is one row, and range-partitioned in
+    their own type, so the values above a range are those of the ranges before it.
+    ``first`` also numbers the rows in that order; a row's distance to its value's first
+    row orders it among its equals.
+    """
+    group = [f"__by{i}" for i in range(len(by))]
+    own = [F.struct(*[as_column(c) for c in df.columns]).alias("__row"), as_column(score).alias("__score")]
+    rows = df.select(*own, *[as_column(c).alias(g) for g, c in zip(group, by)], as_column(row_id).alias("__id"))
+    if "first" in methods:
+        rows = number_rows(rows, [*group, F.desc("__score"), "__id"], "__number")
+    counts = [F.count(F.lit(1)).alias("__n")] + ([F.min("__number").alias("__start")] if "first" in methods else [])
+    values = rows.where(F.col("__score").isNotNull()).groupBy(*group, "__score").agg(*counts)
+    ranged = values.repartitionByRange(*group, F.desc("__score")).withColumn("__range", F.spark_partition_id())
+    values = materialize(ranged, "values")
+
+    # A row per group and range: their sums over the ranges before.
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = values.groupBy(*group, "__range").agg(F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__values"))
+    ranges = ranges.select(
+        *[F.col(g).alias(f"{g}_range") for g in group],
+        F.col("__range").alias("__at"),
+        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__above"),
+        F.coalesce(F.sum("__values").over(before), F.lit(0)).alias("__dense_above"),
+    )
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_range")) for g in group]
+    placed = values.join(ranges, reduce(and_, [*same, F.col("__range") == F.col("__at")]))
+    inside = Window.partitionBy(*group, "__range").orderBy(F.desc("__score"))
+    greater = F.coalesce(F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.select(
+        *[F.col(g).alias(f"{g}_value") for g in group],
+        F.col("__score").alias("__value"),
+        "__n",
+        *(["__start"] if "first" in methods else []),
+        (F.col("__above") + greater + 1).alias("__low"),
+        (F.col("__dense_above") + F.row_number().over(inside)).alias("__dense"),
+    )
+    # Written, so that a hot value meets its rows by broadcast or by a join that can be split.
+    placed = materialize(placed, "value-ranks")
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_value")) for g in group]
+    found = rows.join(placed, reduce(and_, [*same, F.col("__score") == F.col("__value")]), "left")
+    low, ties = F.col("__low"), F.col("__n")
+    ranks = {
+        "average": lambda: low + (ties - 1) / F.lit(2.0),
+        "first": lambda: low + F.col("__number") - F.col("__start"),
+        "min": lambda: low,
+        "max": lambda: low + ties - 1,
+        "dense": lambda: F.col("__dense"),
+    }
+    return found.select("__row.*", *[ranks[m]().alias(prefix + m) for m in methods])
+
+
 def rank_table(df: DataFrame, score: str, row_id: str, out_score: str = "score", out_rank: str = "rank") -> DataFrame:
     """Score to rank table over all rows: descending, equal scores share the lowest rank."""
     ranked = add_ranks(df.where(F.col(score).isNotNull()), score, row_id, methods=("min",))

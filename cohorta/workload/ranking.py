@@ -140,3 +140,43 @@ def paginate_deep(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
     page = R.paginate(df, "line", skip=12_000, limit=500)
     return R.number_rows(page, ["line"], "place", start=0).select("l_orderkey", "l_linenumber", "place")
+
+
+def _ranks_sql(score: str, rows: str) -> str:
+    """All tie rules over (row_id, cohort, score), written with plain windows."""
+    return f"""SELECT row_id, cohort, {score} AS score, rank() OVER w + (count(*) OVER (PARTITION BY cohort, score) - 1) / 2.0::DOUBLE
+AS rank_average, row_number() OVER (PARTITION BY cohort ORDER BY score DESC, row_id) AS rank_first, rank() OVER w AS rank_min,
+rank() OVER w + count(*) OVER (PARTITION BY cohort, score) - 1 AS rank_max, dense_rank() OVER w AS rank_dense
+FROM ({rows}) WINDOW w AS (PARTITION BY cohort ORDER BY score DESC)"""
+
+
+@query(_ranks_sql("CAST(score AS VARCHAR)", "SELECT p_partkey AS row_id, p_brand AS cohort, 9007199254740992 + p_size AS score FROM part"))
+def rank_long(spark, sf_dir):
+    """Whole numbers from 2 ** 53, of which a double holds every second only."""
+    df = _parts(spark, sf_dir).withColumn("score", F.col("score").cast("long") + F.lit(2**53))
+    ranked = R.add_ranks(df, "score", "row_id", by=["cohort"], methods=R.TIE_METHODS)
+    return ranked.withColumn("score", F.col("score").cast("string"))
+
+
+@query(_ranks_sql("CAST(score AS VARCHAR)", """SELECT c_custkey AS row_id, c_mktsegment AS cohort,
+CAST(round_even(c_acctbal / 100, 0) AS DECIMAL(38, 2)) + CAST('123456789012345678901234.00' AS DECIMAL(38, 2)) AS score
+FROM customer"""))
+def rank_decimal(spark, sf_dir):
+    """Decimals of 24 digits that differ in the last ones."""
+    whole = F.rint(F.col("c_acctbal") / F.lit(100.0)).cast("decimal(30,2)")
+    df = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("cohort"),
+        (whole + F.lit("123456789012345678901234.00").cast("decimal(36,2)")).cast("decimal(38,2)").alias("score"),
+    )
+    ranked = R.add_ranks(df, "score", "row_id", by=["cohort"], methods=R.TIE_METHODS)
+    return ranked.withColumn("score", F.col("score").cast("string"))
+
+
+@query(_ranks_sql("strftime(score, '%Y-%m-%d')", "SELECT o_orderkey AS row_id, o_orderstatus AS cohort, CAST(o_orderdate AS DATE) AS score FROM orders"))
+def rank_date(spark, sf_dir):
+    """The latest order first."""
+    df = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("cohort"), F.col("o_orderdate").cast("date").alias("score")
+    )
+    ranked = R.add_ranks(df, "score", "row_id", by=["cohort"], methods=R.TIE_METHODS)
+    return ranked.withColumn("score", F.date_format("score", "yyyy-MM-dd"))

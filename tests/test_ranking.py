@@ -1,3 +1,7 @@
+import datetime
+import random
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -132,3 +136,51 @@ def test_hot_scores_with_clustered_ids_are_split(spark):
     got = {r["id"]: r["rank_first"] for r in R.add_ranks(df, "s", "id", methods=("first",), slices=20).collect()}
     order = sorted(df.collect(), key=lambda r: (-r["s"], r["id"]))
     assert got == {r["id"]: n for n, r in enumerate(order, 1)}
+
+
+def _ranked(spark, rows, kind, methods=R.TIE_METHODS):
+    df = spark.createDataFrame(rows, f"id long, k string, s {kind}, __score int")
+    return R.add_ranks(df, "s", "id", by=["k"], methods=methods)
+
+
+@pytest.mark.parametrize("kind", ["long", "decimal(38,6)", "date", "timestamp", "boolean"])
+def test_ranks_in_the_scores_own_type(spark, kind):
+    rng = random.Random(5)
+    day = datetime.date(2000, 1, 1)
+    value = {
+        "long": lambda n: 2**53 + n,
+        "decimal(38,6)": lambda n: Decimal(10**25) + Decimal(n) / 10**6,
+        "date": lambda n: day + datetime.timedelta(n),
+        "timestamp": lambda n: datetime.datetime(2000, 1, 1) + datetime.timedelta(microseconds=n),
+        "boolean": lambda n: bool(n % 2),
+    }[kind]
+    rows = [(i, rng.choice(["a", "b", None]), value(rng.choice([0, 0, 1, 2, 3, 9])) if i % 7 else None, 1) for i in range(200)]
+    got = _ranked(spark, rows, kind)
+    assert got.columns == ["id", "k", "s", "__score", *[f"rank_{m}" for m in R.TIE_METHODS]]
+    found = {r["id"]: r for r in got.collect()}
+    assert len(found) == len(rows)
+    for i, k, s, _ in rows:
+        peers = sorted((r for r in rows if r[1] == k and r[2] is not None), key=lambda r: (-order_key(r[2]), r[0]))
+        r = found[i]
+        if s is None:
+            assert all(r[f"rank_{m}"] is None for m in R.TIE_METHODS)
+            continue
+        above = sum(order_key(p[2]) > order_key(s) for p in peers)
+        ties = sum(p[2] == s for p in peers)
+        assert (r["rank_min"], r["rank_max"], r["rank_average"]) == (above + 1, above + ties, above + (ties + 1) / 2)
+        assert r["rank_first"] == [p[0] for p in peers].index(i) + 1
+        assert r["rank_dense"] == 1 + len({p[2] for p in peers if order_key(p[2]) > order_key(s)})
+
+
+def order_key(value):
+    if isinstance(value, datetime.datetime):
+        return (value - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    return value.toordinal() if isinstance(value, datetime.date) else value
+
+
+def test_own_type_without_groups_or_rows(spark):
+    df = spark.createDataFrame([(1, 2**53), (2, 2**53 + 1), (3, None)], "id long, s long")
+    got = {r["id"]: r["rank_min"] for r in R.add_ranks(df, "s", "id", methods=("min",)).collect()}
+    assert got == {1: 2, 2: 1, 3: None}
+    assert R.add_ranks(df.limit(0), "s", "id", methods=R.TIE_METHODS).count() == 0
+    assert R.rank_table(df, "s", "id").count() == 2
