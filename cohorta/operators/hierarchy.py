@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohorta.functions.scalar import as_column
 from cohorta.operators.slicing import number_rows
 from cohorta.scratch import materialize
+from cohorta.sources.versions import VersionLog
 
 DOCUMENT_TYPE = "map<string,map<string,array<string>>>"
 LEVELS = ("regions", "academies", "residences")
@@ -64,18 +65,6 @@ def flatten_documents(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _latest_commit(spark: SparkSession, root: str) -> tuple[int, str]:
-    """Version and folder of the last refresh; of writers with the same version one counts for all readers."""
-    try:
-        commits = spark.read.schema("version long, folder string").parquet(f"{root}/commits")
-        last = commits.agg(F.max(F.struct("version", "folder"))).first()[0]
-    except Exception as error:  # no commit yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        last = None
-    return (last["version"], last["folder"]) if last else (0, "")
-
-
 def repeated_names(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``(level, name, n)``: names that occur more than once on their level."""
     counts = [
@@ -85,32 +74,86 @@ def repeated_names(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _folders(content: Mapping) -> list[str]:
+    return [folder for folders in content["tables"].values() for folder in folders]
+
+
+def _write(spark: SparkSession, root: str, level: str, df: DataFrame) -> str:
+    """Write rows of a level into a folder of its own, named relative to ``root``."""
+    folder = f"{level}/part={uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{root}/{folder}")
+    return folder
+
+
+def _read(spark: SparkSession, root: str, folders: Sequence[str]) -> DataFrame:
+    parts = [spark.read.parquet(f"{root}/{folder}") for folder in folders]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def refresh_hierarchy(spark: SparkSession, tables: Mapping[str, DataFrame], root: str) -> int:
     """Replace all tables at once and return the new version.
 
-    The tables go into a folder of this writer's own; only the commit row,
-    written last, makes them current.  A job that fails on the way leaves the old
-    tables in place, and so does a name that is repeated on its level: it raises.
+    The tables go into folders of this writer's own; only the version, committed
+    last, makes them current.  A job that fails on the way leaves the old
+    tables in place, and so does a name that is repeated on its level: it raises,
+    and its folders go.  Of two writers at once both are committed, one after the other.
     """
-    version, folder = _latest_commit(spark, root)[0] + 1, uuid.uuid4().hex
-    stored = {}
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{root}/{name}/refresh={folder}")
-        stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}/refresh={folder}")
+    log, written = VersionLog(spark, root), {}
+    for level, df in tables.items():
+        written[level] = [_write(spark, root, level, df)]
+    stored = {level: _read(spark, root, folders).select(tables[level].columns) for level, folders in written.items()}
     twice = repeated_names(stored).first()
     if twice is not None:
+        for folder in _folders({"tables": written}):
+            log.remove(folder)
         raise ValueError(f"{twice['level']}: {twice['name']!r} occurs {twice['n']} times")
-    commit = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"))
-    commit.write.mode("append").parquet(f"{root}/commits")
-    return version
+    return log.update(lambda version, content: {"tables": {**content.get("tables", {}), **written}})
 
 
 def read_hierarchy(spark: SparkSession, root: str, levels: Sequence[str] = LEVELS) -> dict[str, DataFrame]:
-    """The tables of the latest complete refresh."""
-    version, folder = _latest_commit(spark, root)
+    """The tables of the latest version."""
+    version, content = VersionLog(spark, root).latest()
     if version == 0:
         raise FileNotFoundError(f"no committed hierarchy in {root}")
-    return {name: spark.read.parquet(f"{root}/{name}/refresh={folder}") for name in levels}
+    return {level: _read(spark, root, content["tables"][level]) for level in levels}
+
+
+def append_hierarchy(
+    spark: SparkSession,
+    root: str,
+    level: str,
+    incoming: DataFrame,
+    parent_level: str | None = None,
+    parent_key: str | None = None,
+    order_by: str = "seq",
+) -> tuple[int, DataFrame]:
+    """Append new entries to a stored level; returns the new version and the rejected rows.
+
+    The rows are judged as ``append_entries`` does, against the version they are
+    appended to: if another writer commits first, they are judged and numbered
+    anew, so ids and names stay unique and no writer's rows are lost.
+    """
+    log, rejected, tried = VersionLog(spark, root), None, []
+
+    def change(version: int, content: dict) -> dict:
+        nonlocal rejected
+        if not version:
+            raise FileNotFoundError(f"no committed hierarchy in {root}")
+        for folder in tried:
+            log.remove(folder)
+        tables = content["tables"]
+        parents = _read(spark, root, tables[parent_level]) if parent_level else None
+        accepted, judged = append_entries(_read(spark, root, tables[level]), incoming, parents, parent_key, order_by)
+        rejected = materialize(judged, "rejected")
+        tried[:] = [_write(spark, root, level, accepted)]
+        return {**content, "tables": {**tables, level: [*tables[level], *tried]}}
+
+    return log.update(change), rejected
+
+
+def expire_hierarchy(spark: SparkSession, root: str, keep: int = 2, min_age_seconds: float = 86_400.0) -> list[str]:
+    """Remove the folders that the last ``keep`` versions don't need, and those of writers that failed long ago."""
+    return VersionLog(spark, root).expire(keep, _folders, min_age_seconds)
 
 
 def append_entries(
@@ -156,10 +199,6 @@ def append_entries(
     return accepted.withColumn("id", last + F.col("__n")).select(*columns), rejected
 
 
-def append_to_table(accepted: DataFrame, path: str) -> None:
-    accepted.write.mode("append").parquet(path)
-
-
 def nest_regions(
     regions: DataFrame, academies: DataFrame, residences: DataFrame, page_rows: int = PAGE_ROWS
 ) -> DataFrame:

@@ -131,10 +131,11 @@ def hierarchy_append(spark, sf_dir):
         .otherwise(F.concat(F.lit("Place "), (key % 500).cast("string"))).alias("name"),
         F.when(key % 7 == 0, -1).otherwise(F.col("c_nationkey")).alias("academie_id"),
     )
-    accepted, rejected = H.append_entries(tables["residences"], incoming, tables["academies"], "academie_id")
-    path = scratch_path(spark, "residences")
-    H.append_to_table(accepted, path)
-    stored = spark.read.parquet(path)
+    root = scratch_path(spark, "hierarchy")
+    first = tables["residences"].agg(F.max("id")).scalar()
+    H.refresh_hierarchy(spark, tables, root)
+    _, rejected = H.append_hierarchy(spark, root, "residences", incoming, "academies", "academie_id")
+    stored = H.read_hierarchy(spark, root)["residences"].where(F.col("id") > first)
     return stored.select(F.lit("accepted").alias("outcome"), "id", "name", "academie_id").unionByName(
         rejected.select(F.col("reason").alias("outcome"), F.col("seq").alias("id"), "name", "academie_id")
     )

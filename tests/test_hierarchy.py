@@ -1,10 +1,13 @@
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohorta.operators import hierarchy as H
 from cohorta.sources.tables import read_hierarchy_documents
+from cohorta.sources.versions import VersionLog
 
 DOC = {"R2": {"A2": ["p", "o"], "A1": []}, "R1": {"A3": ["n"]}, "R0": {}}
 
@@ -115,12 +118,82 @@ def test_refresh_rejects_a_name_under_two_parents(spark, tmp_path, tables):
     assert H.read_hierarchy(spark, root)["academies"].count() == 3
 
 
-def test_two_writers_do_not_share_a_folder(spark, tmp_path, tables, monkeypatch):
+def test_two_refreshes_at_once_are_both_committed(spark, tmp_path, tables, monkeypatch):
     root = str(tmp_path / "h")
     few = {n: df.where("id = 1") for n, df in tables.items()}
-    # Both believe to be the first.
-    with monkeypatch.context() as patch:
-        patch.setattr(H, "_latest_commit", lambda *_: (0, ""))
-        assert [H.refresh_hierarchy(spark, t, root) for t in (tables, few)] == [1, 1]
-    counts = tuple(df.count() for df in H.read_hierarchy(spark, root).values())
-    assert counts in ((3, 3, 3), (1, 1, 1))
+    seen = VersionLog.latest
+    raced = []
+
+    def late(log):
+        # Another writer commits between this one's look and its commit.
+        found = seen(log)
+        if not raced:
+            raced.append(1)
+            assert H.refresh_hierarchy(spark, few, root) == 1
+        return found
+
+    monkeypatch.setattr(VersionLog, "latest", late)
+    assert H.refresh_hierarchy(spark, tables, root) == 2
+    assert VersionLog(spark, root).versions() == [1, 2]
+    assert tuple(df.count() for df in H.read_hierarchy(spark, root).values()) == (3, 3, 3)
+
+
+def test_two_appends_at_once_keep_ids_and_names_unique(spark, tmp_path, tables, monkeypatch):
+    root = str(tmp_path / "h")
+    H.refresh_hierarchy(spark, tables, root)
+    mine, other = (
+        spark.createDataFrame(rows, "seq long, name string, academie_id long")
+        for rows in ([(1, "new", 1), (2, "mine", 1)], [(1, "new", 2), (2, "other", 1)])
+    )
+    seen, raced = VersionLog.latest, []
+
+    def late(log):
+        found = seen(log)
+        if not raced:
+            raced.append(1)
+            H.append_hierarchy(spark, root, "residences", other, "academies", "academie_id")
+        return found
+
+    monkeypatch.setattr(VersionLog, "latest", late)
+    version, rejected = H.append_hierarchy(spark, root, "residences", mine, "academies", "academie_id")
+    rows = H.read_hierarchy(spark, root)["residences"].collect()
+    assert version == 3 and [(r["name"], r["reason"]) for r in rejected.collect()] == [("new", "name_exists")]
+    assert len(rows) == len({r["id"] for r in rows}) == len({r["name"] for r in rows}) == 6
+    assert {"new", "mine", "other"} <= {r["name"] for r in rows}
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    log = VersionLog(spark, str(tmp_path / "log"))
+
+    def add(n):
+        return log.update(lambda version, content: {"seen": [*content.get("seen", []), n]})
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(add, range(16))) == list(range(1, 17))
+    assert sorted(log.latest()[1]["seen"]) == list(range(16))
+    assert not log.commit(3, {}) and log.read(1) != {}
+    assert [n for n in os.listdir(tmp_path / "log" / "_versions") if "draft" in n] == []
+
+
+def test_expiry_keeps_what_versions_and_young_writers_need(spark, tmp_path, tables):
+    root = str(tmp_path / "h")
+    few = {n: df.where("id = 1") for n, df in tables.items()}
+    H.refresh_hierarchy(spark, few, root)
+    H.refresh_hierarchy(spark, tables, root)
+    more = spark.createDataFrame([(1, "R9")], "seq long, name string")
+    assert H.append_hierarchy(spark, root, "regions", more)[0] == 3
+    assert H.expire_hierarchy(spark, root, keep=1) == []
+    H.refresh_hierarchy(spark, few, root)
+    assert len(H.expire_hierarchy(spark, root, keep=1, min_age_seconds=0)) == 7
+    assert {n: df.count() for n, df in H.read_hierarchy(spark, root).items()} == {"regions": 1, "academies": 1, "residences": 1}
+    with pytest.raises(ValueError, match="last version"):
+        H.expire_hierarchy(spark, root, keep=0)
+
+
+def test_rejected_refresh_leaves_no_folders(spark, tmp_path, tables):
+    root = str(tmp_path / "h")
+    H.refresh_hierarchy(spark, tables, root)
+    twice = {**tables, "regions": tables["regions"].unionByName(tables["regions"])}
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        H.refresh_hierarchy(spark, twice, root)
+    assert all(len(os.listdir(tmp_path / "h" / level)) == 1 for level in H.LEVELS)
