@@ -36,17 +36,7 @@ def asof_lookup(
     up to ``small_rows`` distinct scores are looked up without moving the
     probes; larger ones are sliced along with the probes.
     """
-    points = (
-        table.select(
-            one_zero(number(table, table_score)).alias("__point"),
-            F.nanvl(number(table, table_value), F.lit(None).cast("double")).cast("long").alias("__value"),
-        )
-        .where(F.col("__point").isNotNull() & ~F.isnan("__point"))
-        .groupBy("__point")
-        .agg(F.min("__value").alias("__value"))
-    )
-    if miss is not None:
-        points = points.na.fill(miss, ["__value"])
+    points = table_points(table, table_score, table_value, miss)
     probes = probes.withColumn("__probe", one_zero(number(probes, probe_score)))
     # Written once: its size decides the way, and either way reads it again.
     points = materialize(points, "points")
@@ -55,10 +45,33 @@ def asof_lookup(
         found = _by_broadcast(probes, points, size)
     else:
         found = _by_slices(probes, points, row_id, slices)
-    return found.withColumn(out, _answer(miss)).drop("__probe", "__found")
+    return found.withColumn(out, found_or_miss(miss)).drop("__probe", "__found")
 
 
-def _answer(miss: int | None) -> Column:
+def table_points(table: DataFrame, score: str, value: str, miss: int | None) -> DataFrame:
+    """(__point, __value): the distinct scores of the table, each with its least value."""
+    points = (
+        table.select(
+            one_zero(number(table, score)).alias("__point"),
+            F.nanvl(number(table, value), F.lit(None).cast("double")).cast("long").alias("__value"),
+        )
+        .where(F.col("__point").isNotNull() & ~F.isnan("__point"))
+        .groupBy("__point")
+        .agg(F.min("__value").alias("__value"))
+    )
+    return points if miss is None else points.na.fill(miss, ["__value"])
+
+
+def steps_met() -> Column:
+    """Where a probe lies on a step of its run."""
+    return (
+        (F.col("__bucket") == F.col("__at"))
+        & (F.col("__point") <= F.col("__probe"))
+        & (F.col("__next").isNull() | (F.col("__probe") < F.col("__next")))
+    )
+
+
+def found_or_miss(miss: int | None) -> Column:
     none = F.lit(None if miss is None else miss).cast("long")
     return (
         F.when(F.col("__probe").isNull(), F.lit(None).cast("long"))
@@ -87,12 +100,7 @@ def _by_broadcast(probes: DataFrame, points: DataFrame, size: int) -> DataFrame:
     buckets = Slices(tuple(bounds), {})
     asked = buckets.assign(probes, "__probe", "__bucket")
     steps = buckets.assign(steps.drop("__n"), "__point", "__at")
-    on_step = (
-        (F.col("__bucket") == F.col("__at"))
-        & (F.col("__point") <= F.col("__probe"))
-        & (F.col("__next").isNull() | (F.col("__probe") < F.col("__next")))
-    )
-    found = asked.join(F.broadcast(steps), on_step, "left")
+    found = asked.join(F.broadcast(steps), steps_met(), "left")
     return found.drop("__bucket", "__at", "__point", "__next")
 
 

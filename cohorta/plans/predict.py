@@ -30,6 +30,7 @@ from cohorta.functions.scalar import (
 from cohorta.operators.asof import SMALL_TABLE_ROWS, asof_lookup
 from cohorta.operators.features import FeatureStats, linear_features, tree_features
 from cohorta.operators.scoring import Cascade, score_batch
+from cohorta.plans.frozen import PreparedRanks
 
 
 def score_applicants(
@@ -88,7 +89,7 @@ def success_probability_v1(
 
 def success_probability_v2(
     scored: DataFrame,
-    rank_table: DataFrame,
+    rank_table: DataFrame | PreparedRanks,
     row_id: str,
     capacity: int = CAPACITY,
     table_score: str = "score",
@@ -97,11 +98,15 @@ def success_probability_v2(
 ) -> DataFrame:
     """Success probability by status, and orientation probability by historic rank.
 
-    A score below the whole table gets rank 0, hence 100 percent.
+    A score below the whole table gets rank 0, hence 100 percent.  A table that serves
+    more than once should be prepared; then nothing runs but the lookup.
     """
-    ranked = asof_lookup(
-        scored, rank_table, "Score_Predit", table_score, table_rank, "rank", row_id, small_rows=small_rows
-    )
+    if isinstance(rank_table, PreparedRanks):
+        ranked = rank_table.lookup(scored, "Score_Predit", "rank")
+    else:
+        ranked = asof_lookup(
+            scored, rank_table, "Score_Predit", table_score, table_rank, "rank", row_id, small_rows=small_rows
+        )
     return ranked.withColumns({
         "orientation_probability": orientation_percentage("rank", capacity),
         "success_probability": lookup("Prediction_Status", STATUS_WEIGHTS_V2) * F.lit(100.0),
@@ -123,7 +128,7 @@ def predict_v1(scored: DataFrame, keep: Sequence[str] = (), **options) -> DataFr
 
 
 def predict_v2(
-    scored: DataFrame, rank_table: DataFrame, row_id: str, keep: Sequence[str] = (), **options
+    scored: DataFrame, rank_table: DataFrame | PreparedRanks, row_id: str, keep: Sequence[str] = (), **options
 ) -> DataFrame:
     """Status, score, both probabilities and both messages per applicant."""
     return success_probability_v2(scored, rank_table, row_id, **options).select(

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from cohorta.functions.scalar import ERREUR
+
 
 def read_arrivals(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
     """Stream of Parquet files appearing under ``path``."""
@@ -22,6 +25,8 @@ def score_stream(
     score: Callable[[DataFrame], DataFrame],
     sink: str,
     checkpoint: str,
+    rejects: str | None = None,
+    usable: Column | None = None,
 ) -> StreamingQuery:
     """Score every arriving batch with a batch plan and write it out.
 
@@ -31,13 +36,28 @@ def score_stream(
     the query's id, which stays with its checkpoint: a query with another
     checkpoint adds to the sink.  All files present are processed, then the
     query stops.
+
+    With ``rejects`` the scored rows that are not ``usable`` (by default those whose
+    status says that they could not be scored) go to that sink, in the same way.
     """
+    fine = F.col("Prediction_Status") != F.lit(ERREUR) if usable is None else usable
 
     def write(batch: DataFrame, batch_id: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if not query:
             raise RuntimeError("the batch does not say which query it belongs to")
-        score(batch).write.mode("overwrite").parquet(f"{sink}/query_id={query}/batch_id={batch_id}")
+        scored, place = score(batch), f"query_id={query}/batch_id={batch_id}"
+        if rejects is None:
+            scored.write.mode("overwrite").parquet(f"{sink}/{place}")
+            return
+        # Scored once: the second sink is filled from what the first one's writing kept.
+        kept = scored.persist()
+        try:
+            good = F.coalesce(fine, F.lit(False))
+            kept.where(good).write.mode("overwrite").parquet(f"{sink}/{place}")
+            kept.where(~good).write.mode("overwrite").parquet(f"{rejects}/{place}")
+        finally:
+            kept.unpersist()
 
     return (
         arrivals.writeStream.foreachBatch(write)
