@@ -45,8 +45,9 @@ def rank_all(
     """Rank truth and every model's score by cohort, side by side.
 
     ``scores`` maps model names to score columns.  The scores are written once,
-    since ranking reads its input more than once; all models are then ranked
-    over one shuffle.  Returns one row per applicant, model and tie method:
+    since ranking reads its input more than once, and so are the ranks of the
+    truth beside them; all models are then ranked over one shuffle, through which
+    these ranks are carried.  Returns one row per applicant, model and tie method:
     ``true_rank`` and ``predicted_rank``.
     """
     outcome = as_column(result)
@@ -63,15 +64,14 @@ def rank_all(
         "scores",
     )
     options = {"methods": methods, "slices": slices}
-    truths = wide.select(F.col("cohort").alias("__cohort"), F.col("row_id").alias("__row_id"), "__truth")
-    truths = add_ranks(truths, "__truth", "__row_id", ["__cohort"], prefix="__t_", **options)
+    ranked = materialize(add_ranks(wide, "__truth", "row_id", ["cohort"], prefix="__t_", **options), "truth")
     pairs = F.array(*[
         F.struct(F.lit(model).alias("model"), F.col(name).alias("score"))
         for model, name in zip(scores, columns)
     ])
-    predicted = wide.select("cohort", "row_id", "passed", "admitted", F.inline(pairs))
+    true_ranks = [f"__t_{m}" for m in methods]
+    predicted = ranked.select("cohort", "row_id", "passed", "admitted", *true_ranks, F.inline(pairs))
     predicted = add_ranks(predicted, "score", "row_id", ["model", "cohort"], prefix="__p_", **options)
-    same = F.col("cohort").eqNullSafe(F.col("__cohort")) & (F.col("row_id") == F.col("__row_id"))
     cells = [
         F.struct(
             F.lit(m).alias("method"),
@@ -80,7 +80,7 @@ def rank_all(
         )
         for m in methods
     ]
-    return predicted.join(truths, same).select(
+    return predicted.select(
         "cohort", "row_id", "passed", "admitted", "model", F.inline(F.array(*cells))
     )
 

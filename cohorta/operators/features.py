@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from cohorta import schema
 from cohorta.functions.scalar import as_column, equals_flag, number_or_zero
+from cohorta.operators.group_state import group_state, state_means
 from cohorta.operators.slicing import number_rows
 from cohorta.scratch import materialize
 
@@ -117,13 +118,17 @@ def cohort_prep(
     """Cohort preparation: fill, flags, both group means, drops.
 
     Nulls are filled before grouping, so they form the group ``"0"``.  With a
-    ``cohort`` column each cohort is prepared on its own.
+    ``cohort`` column each cohort is prepared on its own.  Both means are learned
+    in one pass over the rows as they come, not behind the join of the other.
     """
     df = one_hot(fill_nulls(df), flags)
     scope = [cohort] if cohort else []
-    for key, out in ((academy, "academie_perf"), (residence, "residence_perf")):
-        if key in df.columns and value in df.columns:
-            df = target_mean(df, [*scope, key], value, out).drop(key)
+    outs = {"academie_perf": academy, "residence_perf": residence}
+    groupings = {out: [*scope, key] for out, key in outs.items() if key in df.columns and value in df.columns}
+    if groupings:
+        state = materialize(group_state(df, groupings, value), "group-state")
+        for out, keys in groupings.items():
+            df = map_group_mean(df, state_means(state, out, keys, out), keys, out).drop(outs[out])
     return df.drop(*drop)
 
 
@@ -145,6 +150,11 @@ def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def stored_label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The code table written once: every coded column reads it, and its size is known."""
+    return materialize(label_codes(df, columns), "codes")
+
+
 def label_text(column: str | Column) -> Column:
     return F.coalesce(as_column(column).cast("string"), F.lit("nan"))
 
@@ -183,7 +193,7 @@ def fit_feature_stats(
     groups = group_columns or {"academie_perf": "academie", "residence_perf": "residence"}
     present = [c for c in labels if c in df.columns]
     return FeatureStats(
-        codes=label_codes(df, present) if present else None,
+        codes=stored_label_codes(df, present) if present else None,
         means={
             out: stored_group_mean(df, [key], value, out) for out, key in groups.items() if key in df.columns
         },
@@ -237,7 +247,7 @@ def fit_tree_stats(
     """Statistics for the trees: a missing academy has its own mean (and code)."""
     named = df.withColumn(academy, label_text(academy))
     return FeatureStats(
-        codes=label_codes(df, [c for c in labels if c in df.columns]),
+        codes=stored_label_codes(df, [c for c in labels if c in df.columns]),
         means={"academie_perf": stored_group_mean(named, [academy], value, "academie_perf")},
     )
 

@@ -9,6 +9,7 @@ from cohorta.operators import evaluation as E
 from cohorta.operators import scoring as M
 from cohorta.operators.features import baseline_prediction
 from cohorta.plans.predict import score_applicants
+from cohorta.scratch import materialize
 from cohorta.workload.registry import query
 from cohorta.workload.scoring import (
     COHORT_MODELS,
@@ -18,6 +19,7 @@ from cohorta.workload.scoring import (
     SHIFT_SQL,
     TREES_V3,
     cohort_models,
+    cohort_statistics,
     intercept_sql,
 )
 from cohorta.workload.tables import (
@@ -84,9 +86,9 @@ def ensemble_v1(df):
     return score_applicants(df, CASCADE, digits=DIGITS)
 
 
-def by_cohort(spark, sf_dir, trees, intercepts):
+def by_cohort(stats, trees, intercepts):
     """Predictor with linear models of each cohort's own."""
-    models = cohort_models(spark, sf_dir, intercepts)
+    models = cohort_models(stats, intercepts)
     return lambda df: M.score_by_cohort(df, trees, models, ["moy_gle", "math"], digits=DIGITS)
 
 
@@ -95,10 +97,12 @@ def global_linear(df):
 
 
 def predictors(spark, sf_dir):
+    # Both ensembles by cohort start from the same statistics: learn them once.
+    stats = materialize(cohort_statistics(spark, sf_dir), "statistics")
     return {
         "ensemble_v1": ensemble_v1,
-        "ensemble_v2": by_cohort(spark, sf_dir, TREES, INTERCEPTS_V2),
-        "ensemble_v3": by_cohort(spark, sf_dir, TREES_V3, INTERCEPTS_V3),
+        "ensemble_v2": by_cohort(stats, TREES, INTERCEPTS_V2),
+        "ensemble_v3": by_cohort(stats, TREES_V3, INTERCEPTS_V3),
         "global_linear": global_linear,
         "baseline": baseline_prediction,
     }
@@ -129,7 +133,7 @@ def eval_macro(spark, sf_dir):
 
 @query(f"WITH {RANKED_SQL} {MACRO_SQL} WHERE model = 'ensemble_v2' AND method = 'average' GROUP BY model, method")
 def evaluate_model(spark, sf_dir):
-    predictor = by_cohort(spark, sf_dir, TREES, INTERCEPTS_V2)
+    predictor = by_cohort(cohort_statistics(spark, sf_dir), TREES, INTERCEPTS_V2)
     out = E.evaluate_model(applicants(spark, sf_dir, NEEDED), predictor, suffix="ensemble_v2")
     return _six(out, "rank_error", "mrr_strict", "mrr_open")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohorta import schema
-from cohorta.functions.scalar import as_column, number_or_zero, parse_number
+from cohorta.functions.scalar import as_column, number_or_zero, parse_number, rounded
 from cohorta.operators import features as P
-from cohorta.scratch import scratch_path
+from cohorta.operators import group_state as G
+from cohorta.scratch import materialize, scratch_path
 from cohorta.sources.tables import load_cohort, read_csv_table, select_fields
 from cohorta.workload.registry import query
 from cohorta.workload.tables import APPLICANTS, applicants, table
@@ -259,3 +260,17 @@ def cohort_union(spark, sf_dir):
     spans = {"early": (1995, 1998), "late": (1997, 2001)}
     parts = {tag: df.where(F.col("annee_bac").between(*span)) for tag, span in spans.items()}
     return P.stack_cohorts(parts).select("cohort", "row_id", as_column("moy_gle"))
+
+
+@query(f"""WITH {APPLICANTS} SELECT 'academie_perf' AS grouping, academie AS name, round_even(avg(moy_gle) * 1e4, 0) / 1e4 AS mean,
+CAST(count(*) AS BIGINT) AS n FROM applicants WHERE academie IS NOT NULL GROUP BY academie
+UNION ALL SELECT 'residence_perf', residence, round_even(avg(moy_gle) * 1e4, 0) / 1e4, CAST(count(*) AS BIGINT)
+FROM applicants WHERE residence IS NOT NULL GROUP BY residence""")
+def group_state_merge(spark, sf_dir):
+    """Means of all cohorts from the state of the old ones and that of the new ones."""
+    df = materialize(applicants(spark, sf_dir, ["cohort", "academie", "residence", "moy_gle"]), "applicants")
+    groupings = {"academie_perf": ["academie"], "residence_perf": ["residence"]}
+    old, new = (G.group_state(df.where(c), groupings, "moy_gle") for c in ("cohort < '1997'", "cohort >= '1997'"))
+    merged = materialize(G.merge_states(materialize(old, "old-state"), new), "state")
+    mean = rounded(F.col("total") / F.col("n"), 4).alias("mean")
+    return merged.select("grouping", F.coalesce("academie", "residence").alias("name"), mean, "n")

@@ -122,11 +122,15 @@ def intercept_sql(intercepts) -> str:
     return "CASE model_key " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in intercepts.items()) + " END"
 
 
-def cohort_models(spark, sf_dir, intercepts):
-    """Model table with one model per cohort and route, learned from all applicants."""
-    stats = applicants(spark, sf_dir, ["cohort", "moy_gle"]).groupBy("cohort").agg(
+def cohort_statistics(spark, sf_dir):
+    """Mean and deviation of each cohort."""
+    return applicants(spark, sf_dir, ["cohort", "moy_gle"]).groupBy("cohort").agg(
         F.avg("moy_gle").alias("mean"), F.rint(F.stddev_pop("moy_gle")).alias("scale")
     )
+
+
+def cohort_models(stats, intercepts):
+    """Model table with one model per cohort and route, from what was learned of the cohorts."""
     keys = F.array(*[
         F.struct(F.lit(k).alias("model_key"), F.lit(b).alias("intercept")) for k, b in intercepts.items()
     ])
@@ -145,7 +149,7 @@ SELECT row_id, cohort, model_key AS "Model_Utilise", {STATUS_SQL} AS "Prediction
 FROM (SELECT *, {ROUTE_SQL} AS model_key FROM applicants JOIN cohort_stats ON cohort = model_cohort)""")
 def score_by_cohort_model(spark, sf_dir):
     df = applicants(spark, sf_dir, [*INPUTS, "cohort"])
-    models = cohort_models(spark, sf_dir, INTERCEPTS_V2)
+    models = cohort_models(cohort_statistics(spark, sf_dir), INTERCEPTS_V2)
     out = M.score_by_cohort(df, TREES, models, ["moy_gle", "math"], digits=DIGITS)
     return out.drop("moy_gle", "math")
 
