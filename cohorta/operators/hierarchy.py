@@ -20,17 +20,52 @@ LEVELS = ("regions", "academies", "residences")
 # Names per page of a nested region; longer regions continue on further pages.
 PAGE_ROWS = 1_000
 
+# Documents longer than this are cut into their top-level entries, which many tasks parse.
+SPLIT_CHARS = 1 << 20
+# A JSON string, and a member whose value is an object of lists of strings. Possessive, so
+# that a long member neither backtracks nor takes stack.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_MEMBER = rf"{_STRING}\s*+:\s*+\{{(?:[^{{}}\"]++|{_STRING})*+\}}"
 
-def flatten_documents(docs: DataFrame) -> dict[str, DataFrame]:
+
+def split_documents(docs: DataFrame) -> DataFrame:
+    """(doc, p1, text): each top-level entry of the documents as a document of its own.
+
+    ``p1`` is the entry's place. Finding the entries is one pass over a document's
+    characters; the entries are then spread, so that a large one is parsed by many tasks.
+    A text that is not an object of such entries, with commas between them, raises.
+    """
+    members = F.regexp_extract_all("text", F.lit(_MEMBER), F.lit(0))
+    # A control character, which no JSON text holds as it is, stands for each entry.
+    rest = F.regexp_replace("text", _MEMBER, "\x01")
+    sound = rest.rlike(r"\A\s*\{\s*(\x01\s*(,\s*\x01\s*)*)?\}\s*\z")
+    entries = F.when(sound, members).otherwise(
+        F.raise_error(F.concat(F.lit("Malformed hierarchy document "), F.col("doc").cast("string")))
+    )
+    found = docs.where(F.col("text").isNotNull()).select("doc", F.posexplode(entries).alias("p1", "entry"))
+    # A fixed number of tasks: few large entries must not be gathered again.
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = found.repartition(width, "doc", "p1")
+    return spread.select("doc", "p1", F.concat(F.lit("{"), "entry", F.lit("}")).alias("text"))
+
+
+def _region_entries(docs: DataFrame, split_chars: int) -> DataFrame:
+    """(doc, p1, region_entry) of all documents, the long ones by way of their parts."""
+    tree = F.from_json("text", DOCUMENT_TYPE, {"mode": "FAILFAST"})
+    long = F.length("text") > split_chars
+    whole = docs.where(~F.coalesce(long, F.lit(False))).select("doc", F.posexplode(F.map_entries(tree)).alias("p1", "region_entry"))
+    parts = split_documents(docs.where(long)).select("doc", "p1", F.explode(F.map_entries(tree)).alias("region_entry"))
+    return whole.unionByName(parts)
+
+
+def flatten_documents(docs: DataFrame, split_chars: int = SPLIT_CHARS) -> dict[str, DataFrame]:
     """Nested documents ``(doc, text)`` to three keyed tables.
 
     Ids follow the order of first appearance.  A name met again under the same
-    parent, in another document, is the same entry.
+    parent, in another document, is the same entry.  Documents longer than
+    ``split_chars`` are parsed in parts.
     """
-    tree = F.from_json("text", DOCUMENT_TYPE, {"mode": "FAILFAST"})
-    regions = docs.select(
-        "doc", F.posexplode_outer(F.map_entries(tree)).alias("p1", "region_entry")
-    ).where(F.col("region_entry").isNotNull())
+    regions = _region_entries(docs, split_chars)
     academies = regions.select(
         "doc", "p1", F.col("region_entry.key").alias("region"),
         F.posexplode_outer(F.map_entries("region_entry.value")).alias("p2", "academy_entry"),

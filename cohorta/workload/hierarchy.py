@@ -76,6 +76,40 @@ def hierarchy_flatten(spark, sf_dir):
     return _joined(H.flatten_documents(read_hierarchy_documents(spark, path, one_per_file=False)))
 
 
+@query("""WITH p AS (
+  SELECT s_suppkey, s_name, n_name, concat(r_name, ' "', CAST(s_suppkey % 40 AS VARCHAR), '" {', n_name, '}') AS region
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), r AS (SELECT region, row_number() OVER (ORDER BY region) AS region_id FROM (SELECT DISTINCT region FROM p)),
+a AS (SELECT region, n_name, row_number() OVER (ORDER BY region, n_name) AS academie_id FROM (SELECT DISTINCT region, n_name FROM p))
+SELECT row_number() OVER (ORDER BY region, n_name, s_suppkey) AS residence_id, s_name AS residence, academie_id, n_name AS academie,
+  region_id, region FROM p JOIN r USING (region) JOIN a USING (region, n_name)""")
+def hierarchy_flatten_large(spark, sf_dir):
+    """One document of all suppliers, cut at its top level; names hold quotes and braces."""
+    suppliers = (
+        table(spark, sf_dir, "supplier")
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            "s_suppkey", "s_name", "n_name",
+            F.format_string('%s "%d" {%s}', "r_name", F.col("s_suppkey") % 40, "n_name").alias("region"),
+        )
+    )
+    names = suppliers.groupBy("region", "n_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda s: s["s_name"]).alias("names")
+    )
+    regions = names.groupBy("region").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_name", "names")))).alias("academies")
+    )
+    member = F.to_json(F.create_map("region", "academies"))
+    member = F.struct("region", F.substring(member, F.lit(2), F.length(member) - 2).alias("text"))
+    # The feature is one document that holds everything.
+    members = F.transform(F.array_sort(F.collect_list(member)), lambda m: m["text"])
+    docs = regions.agg(F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}")).alias("text"))
+    path = scratch_path(spark, "document")
+    docs.write.text(path)
+    return _joined(H.flatten_documents(read_hierarchy_documents(spark, path, one_per_file=False), split_chars=0))
+
+
 @query("""SELECT s_suppkey AS residence_id, s_name AS residence, n_nationkey AS academie_id, n_name AS academie,
 r_regionkey AS region_id, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey""")

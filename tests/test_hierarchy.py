@@ -197,3 +197,28 @@ def test_rejected_refresh_leaves_no_folders(spark, tmp_path, tables):
     with pytest.raises(ValueError, match="occurs 2 times"):
         H.refresh_hierarchy(spark, twice, root)
     assert all(len(os.listdir(tmp_path / "h" / level)) == 1 for level in H.LEVELS)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_split_documents_are_flattened_alike(spark, indent):
+    odd = {'a "quoted" {name}': {"x, y": ["1", "2\\\\", '{"}'], "": []}, "é\n": {}, "[z]": {"q": ["1"]}}
+    many = {f"R{i}": {f"A{i}-{j}": [f"r{i}-{j}-{k}" for k in range(50)] for j in range(20)} for i in range(40)}
+    docs = spark.createDataFrame([(1, json.dumps(odd, indent=indent)), (2, json.dumps(many, indent=indent)), (3, "{}"), (4, None)], "doc long, text string")
+    parts = H.split_documents(docs)
+    assert parts.count() == 43 and parts.select(F.spark_partition_id()).distinct().count() > 1
+    whole, split = (H.flatten_documents(docs, split_chars=n) for n in (1 << 30, 0))
+    for level in H.LEVELS:
+        assert sorted(map(tuple, whole[level].collect())) == sorted(map(tuple, split[level].collect()))
+
+
+@pytest.mark.parametrize("text", ['{"R": {"A": ["x"]}', '{"R": {"A": ["x"]} "S": {}}', '{"R": 1}', "[]", '{"R": {"A": ["x"]}} x', '{"R": {"A": "x"}}'])
+def test_malformed_documents_raise_when_split(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc long, text string")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        H.flatten_documents(docs, split_chars=0)["regions"].collect()
+
+
+def test_a_very_long_entry_takes_no_stack(spark):
+    text = json.dumps({"R": {"A": ["x" * 200_000] + [f"n{i}" for i in range(30_000)]}})
+    docs = spark.createDataFrame([(1, text)], "doc long, text string")
+    assert H.flatten_documents(docs, split_chars=0)["residences"].count() == 30_001
