@@ -25,22 +25,23 @@ def asof_lookup(
     table_value: str,
     out: str,
     row_id: str,
-    miss: int | None = 0,
+    miss: int | str | None = 0,
     small_rows: int = SMALL_TABLE_ROWS,
     slices: int | None = None,
 ) -> DataFrame:
     """Add to each probe the value of the greatest table score <= its own score.
 
-    Nothing at or below, a NaN score, or a null table value gives ``miss``; a
-    null score gives null.  Text scores are trimmed and parsed first.  Tables
+    Nothing at or below, a NaN score, or a null table value gives ``miss``, which
+    may be ``"last"``: the greatest value of the table.  A null score gives null.  Text scores are trimmed and parsed first.  Tables
     up to ``small_rows`` distinct scores are looked up without moving the
     probes; larger ones are sliced along with the probes.
     """
-    points = table_points(table, table_score, table_value, miss)
+    points = table_points(table, table_score, table_value)
     probes = probes.withColumn("__probe", one_zero(number(probes, probe_score)))
     # Written once: its size decides the way, and either way reads it again.
     points = materialize(points, "points")
-    size = points.count()
+    size, miss = size_and_miss(points, miss)
+    points = points if miss is None else points.na.fill(miss, ["__value"])
     if size <= small_rows:
         found = _by_broadcast(probes, points, size)
     else:
@@ -48,9 +49,17 @@ def asof_lookup(
     return found.withColumn(out, found_or_miss(miss)).drop("__probe", "__found")
 
 
-def table_points(table: DataFrame, score: str, value: str, miss: int | None) -> DataFrame:
+def size_and_miss(points: DataFrame, miss: int | str | None) -> tuple[int, int | None]:
+    """How many points there are, and the value of a miss; ``last`` is null where no point has a value."""
+    if isinstance(miss, str) and miss != "last":
+        raise ValueError(f"a miss is a number, None or 'last', not {miss!r}")
+    found = points.agg(F.count(F.lit(1)).alias("n"), F.max("__value").alias("last")).first()
+    return found["n"], found["last"] if miss == "last" else miss
+
+
+def table_points(table: DataFrame, score: str, value: str) -> DataFrame:
     """(__point, __value): the distinct scores of the table, each with its least value."""
-    points = (
+    return (
         table.select(
             one_zero(number(table, score)).alias("__point"),
             F.nanvl(number(table, value), F.lit(None).cast("double")).cast("long").alias("__value"),
@@ -59,7 +68,6 @@ def table_points(table: DataFrame, score: str, value: str, miss: int | None) ->
         .groupBy("__point")
         .agg(F.min("__value").alias("__value"))
     )
-    return points if miss is None else points.na.fill(miss, ["__value"])
 
 
 def steps_met() -> Column:

@@ -23,11 +23,23 @@ def rename_fields(df: DataFrame, names: Mapping[str, str] | None = None) -> Data
     return df.withColumnsRenamed(dict(names or schema.record_to_internal()))
 
 
-def one_hot(df: DataFrame, flags: Flags = schema.TREE_FLAGS) -> DataFrame:
+def respell(df: DataFrame, aliases: Flags) -> DataFrame:
+    """Replace the listed spellings of a column's values; others stay, absent columns are skipped."""
+    present = {c: names for c, names in aliases.items() if c in df.columns and names}
+    spelt = {
+        c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in names.items() for x in item]), as_column(c)), as_column(c))
+        for c, names in present.items()
+    }
+    return df.withColumns(spelt) if spelt else df
+
+
+def one_hot(df: DataFrame, flags: Flags = schema.TREE_FLAGS, aliases: Flags | None = None) -> DataFrame:
     """0/1 columns for fixed values; the source column is dropped, absent ones skipped.
 
-    Null and values outside the list give 0 everywhere.
+    Null and values outside the list give 0 everywhere.  ``aliases`` (none by default)
+    maps other spellings to the listed ones first.
     """
+    df = respell(df, aliases) if aliases else df
     for source, columns in flags.items():
         if source in df.columns:
             new = {name: equals_flag(source, value) for name, value in columns.items()}
@@ -210,6 +222,7 @@ def tree_features(
     value: str = "moy_gle",
     keep: Sequence[str] = (),
     prefix: str = "",
+    aliases: Flags | None = None,
 ) -> DataFrame:
     """Inputs of the decision trees.
 
@@ -219,7 +232,7 @@ def tree_features(
     """
     kept = {k: f"__kept_{k}" for k in keep}
     df = df.withColumns({out: as_column(k) for k, out in kept.items()}) if kept else df
-    df = one_hot(df, flags)
+    df = one_hot(df, flags, aliases)
     present = [c for c in labels if c in df.columns]
     has_mean = academy in df.columns and value in df.columns
     if stats is None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohorta.functions.scalar import number, one_zero
-from cohorta.operators.asof import SMALL_TABLE_ROWS, found_or_miss, steps_met, table_points
+from cohorta.operators.asof import SMALL_TABLE_ROWS, found_or_miss, size_and_miss, steps_met, table_points
 from cohorta.operators.features import FeatureStats
 from cohorta.operators.slicing import Slices, number_rows
 from cohorta.scratch import materialize
@@ -50,12 +50,12 @@ class PreparedRanks:
 
 
 def prepare_ranks(
-    table: DataFrame, score: str = "score", rank: str = "rank", miss: int | None = 0, buckets: int | None = None
+    table: DataFrame, score: str = "score", rank: str = "rank", miss: int | str | None = 0, buckets: int | None = None
 ) -> PreparedRanks:
-    """Order a rank table of any size and cut it into runs; it is read once."""
-    points = number_rows(table_points(table, score, rank, miss), ["__point"], "__n", start=0)
-    points = materialize(points, "points")
-    size = points.count()
+    """Order a rank table of any size and cut it into runs; it is read once. ``miss`` as in ``asof_lookup``."""
+    points = materialize(number_rows(table_points(table, score, rank), ["__point"], "__n", start=0), "points")
+    size, miss = size_and_miss(points, miss)
+    points = points if miss is None else points.na.fill(miss, ["__value"])
     run = -(-size // (buckets or (FEW_BUCKETS if size <= SMALL_TABLE_ROWS else MANY_BUCKETS))) or 1
     starts = points.where(F.col("__n") % run == 0).select("__point").collect()
     bounds = tuple(sorted(r["__point"] for r in starts if math.isfinite(r["__point"])))

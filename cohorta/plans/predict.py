@@ -95,17 +95,19 @@ def success_probability_v2(
     table_score: str = "score",
     table_rank: str = "rank",
     small_rows: int = SMALL_TABLE_ROWS,
+    miss: int | str | None = 0,
 ) -> DataFrame:
     """Success probability by status, and orientation probability by historic rank.
 
-    A score below the whole table gets rank 0, hence 100 percent.  A table that serves
+    A score below the whole table gets rank 0, hence 100 percent, unless ``miss`` says
+    otherwise (``"last"``: the last rank; prepared ranks know theirs).  A table that serves
     more than once should be prepared; then nothing runs but the lookup.
     """
     if isinstance(rank_table, PreparedRanks):
         ranked = rank_table.lookup(scored, "Score_Predit", "rank")
     else:
         ranked = asof_lookup(
-            scored, rank_table, "Score_Predit", table_score, table_rank, "rank", row_id, small_rows=small_rows
+            scored, rank_table, "Score_Predit", table_score, table_rank, "rank", row_id, miss=miss, small_rows=small_rows
         )
     return ranked.withColumns({
         "orientation_probability": orientation_percentage("rank", capacity),

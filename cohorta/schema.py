@@ -92,6 +92,9 @@ TREE_FLAGS = {
     "mention": {"mention_pass": "Passable", "mention_abien": "Assez-Bien", "mention_bien": "Bien"},
 }
 
+# Spellings of the applicant files, by the one the tree features know.
+MENTION_ALIASES = {"mention": {"Pass": "Passable", "ABien": "Assez-Bien"}}
+
 # One-hot columns of the cohort preparation, by source column.
 COHORT_FLAGS = {
     "serie": {"s1": "S1", "s2": "S2", "s3": "S3"},

@@ -81,6 +81,14 @@ def onehot_fixed(spark, sf_dir):
     return P.one_hot(applicants(spark, sf_dir, ["row_id", "moy_gle", "sexe", "serie", "mention"]))
 
 
+@query(f"""WITH {APPLICANTS}, spelt AS (SELECT * REPLACE (CASE mention WHEN 'Pass' THEN 'Passable' ELSE mention END AS mention) FROM applicants)
+SELECT row_id, moy_gle, {flags_sql(schema.TREE_FLAGS)} FROM spelt""")
+def onehot_aliases(spark, sf_dir):
+    """Flags of mentions in the spelling of the applicant files, too."""
+    df = applicants(spark, sf_dir, ["row_id", "moy_gle", "sexe", "serie", "mention"])
+    return P.one_hot(df, aliases=schema.MENTION_ALIASES)
+
+
 @query(f"WITH {APPLICANTS} SELECT row_id, mention, {flags_sql(schema.COHORT_FLAGS)} FROM applicants")
 def onehot_cohort(spark, sf_dir):
     df = applicants(spark, sf_dir, ["row_id", "sexe", "serie", "mention"])

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohorta.functions.scalar import ERREUR
-from cohorta.operators.features import fit_feature_stats, fit_tree_stats
+from cohorta.operators.features import fit_feature_stats, fit_tree_stats, rename_fields
 from cohorta.operators.pages import read_page, write_pages
 from cohorta.operators.scoring import Cascade, LinearModel, Split, Term
 from cohorta.plans import predict
 from cohorta.plans.frozen import freeze, prepare_ranks, thaw
 from cohorta.plans.predict import score_applicants
+from cohorta.schema import record_to_internal
 from cohorta.scratch import materialize, scratch_path
+from cohorta.sources.records import records_frame
 from cohorta.streaming.score import read_arrivals, read_scored, score_stream
 from cohorta.workload.registry import query
 from cohorta.workload.scoring import V2
-from cohorta.workload.tables import APPLICANTS, DIGITS, RANK_TABLE, TERMS, applicants, rank_reference, table
+from cohorta.workload.tables import APPLICANTS, CASCADE, DIGITS, RANK_TABLE, TERMS, applicants, rank_reference, table
 
 
 @query("""SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber,
@@ -45,6 +47,40 @@ def asof_prepared(spark, sf_dir):
     return thaw(spark, root).ranks.lookup(events, "score", "rank")
 
 
+@query(f"""WITH {RANK_TABLE}, e AS (SELECT event_id AS row_id, value / 10.0 - 20.0 AS score FROM events)
+SELECT row_id, score, coalesce(rank, (SELECT max(rank) FROM ranks)) AS rank FROM e ASOF LEFT JOIN ranks ON e.score >= ranks.table_score""")
+def asof_miss_last(spark, sf_dir):
+    """Scores below the whole table get its last rank, looked up directly and from prepared ranks."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("row_id"), (F.col("value") / F.lit(10.0) - F.lit(20.0)).alias("score")
+    )
+    ranks = materialize(rank_reference(spark, sf_dir), "ranks")
+    odd = F.col("row_id") % 2 == 1
+    direct = predict.asof_lookup(events.where(odd), ranks, "score", "score", "rank", "rank", "row_id", miss="last")
+    return direct.unionByName(prepare_ranks(ranks, miss="last").lookup(events.where(~odd), "score", "rank"))
+
+
+@query(f"""WITH {V2} SELECT row_id, status, score, orientation_probability, success_probability FROM v2
+WHERE row_id = (SELECT min(o_orderkey) FROM orders)""")
+def single_record(spark, sf_dir):
+    """The applicant with the smallest number as a record at hand, answered like a batch of one."""
+    df = applicants(spark, sf_dir, ["row_id", "moy_gle", "math"])
+    first = df.orderBy("row_id").limit(1).collect()[0]
+    record = {"Moy_Gle": first["moy_gle"], "MATH": first["math"]}
+    names = record_to_internal()
+    frame = rename_fields(records_frame(spark, [record]).select(*record)).select(
+        F.lit(first["row_id"]).alias("row_id"), *[names.get(f, f) for f in record]
+    )
+    out = predict.success_probability_v2(
+        score_applicants(frame, CASCADE, digits=DIGITS), rank_reference(spark, sf_dir), "row_id",
+        2 * table(spark, sf_dir, "customer").count(),
+    )
+    return out.select(
+        "row_id", F.col("Prediction_Status").alias("status"), F.col("Score_Predit").alias("score"),
+        "orientation_probability", "success_probability",
+    )
+
+
 # Routes by the mean of the academy, and asks the region's code and the residence's mean.
 _TREES = {
     "admission": Split("moy_gle", 100_000.0, 0, 1),

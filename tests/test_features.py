@@ -147,3 +147,16 @@ def test_stack_keeps_duplicates(spark):
     assert P.stack_cohorts({"a": df, "b": df}).count() == 2
     with pytest.raises(ValueError):
         P.stack_cohorts({})
+
+
+def test_other_spellings_only_where_asked_for(spark):
+    df = spark.createDataFrame([(1, "Pass"), (2, "Passable"), (3, "ABien"), (4, None), (5, "x")], "id long, mention string")
+    flags = ["mention_pass", "mention_abien", "mention_bien"]
+
+    def found(out):
+        return {r["id"]: [r[f] for f in flags] for r in out.collect()}
+
+    plain, spelt = P.one_hot(df), P.one_hot(df, aliases=schema.MENTION_ALIASES)
+    assert found(plain) == {1: [0, 0, 0], 2: [1, 0, 0], 3: [0, 0, 0], 4: [0, 0, 0], 5: [0, 0, 0]}
+    assert found(spelt) == {1: [1, 0, 0], 2: [1, 0, 0], 3: [0, 1, 0], 4: [0, 0, 0], 5: [0, 0, 0]}
+    assert P.respell(df, {"absent": {"a": "b"}, "mention": {}}).collect() == df.collect()

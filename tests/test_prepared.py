@@ -127,3 +127,19 @@ def test_stream_starts_no_job_on_the_rank_table(spark, tmp_path):
     good, bad = read_scored(spark, sink), read_scored(spark, rejects)
     assert good.count() + bad.count() == len(PROBES) and good.where("r <= 0").count() == 0
     assert bad.where("r > 0").count() == 0 and bad.where("r IS NULL").count() == 1
+
+
+def test_a_miss_may_get_the_last_rank(spark):
+    table = rank_table(spark.createDataFrame(SCORES, "id long, s double"), "s", "id")
+    probes = spark.createDataFrame(PROBES, "id long, p double")
+    for found in (
+        asof_lookup(probes, table, "p", "score", "rank", "r", "id", miss="last"),
+        prepare_ranks(table, miss="last").lookup(probes, "p", "r"),
+    ):
+        got = {r["id"]: r["r"] for r in found.collect()}
+        assert got[3] == got[9] == probes.sparkSession.createDataFrame(table.collect()).agg(F.max("rank")).first()[0]
+        assert got[10] is None and got[5] == got[4]
+    empty = table.limit(0)
+    assert prepare_ranks(empty, miss="last").lookup(probes, "p", "r").where("r IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="first"):
+        asof_lookup(probes, table, "p", "score", "rank", "r", "id", miss="first")
