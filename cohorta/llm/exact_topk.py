@@ -75,15 +75,13 @@ def exact_top_k(
     rows with another id. Blocks of queries meet lanes of candidates, each streamed by
     descending length. Ties go to the smaller id; fewer candidates give fewer rows.
     Vectors that are null or hold a null or non-finite component, and rows without
-    an id, take no part; of rows that share an id the one least in (length, bytes)
-    counts; shorter vectors end in zeros. Scores are exact below 2**53. An empty table
-    gives an empty one; other columns do not matter.
+    an id, take no part. Rows that share an id are candidates of their own, and as
+    queries share their ``k`` rows: the best scores of any of them. Shorter vectors end
+    in zeros. Scores are exact below 2**53. An empty table gives an empty one; other
+    columns do not matter.
     """
     spark = df.sparkSession
-    packed = pack(df, id_col, vector, quantise(scale))
-    rows = materialize(
-        packed.groupBy("vec_id").agg(F.min(F.struct("norm", "vec")).alias("r")).select("vec_id", "r.norm", "r.vec"), "packed"
-    )
+    rows = materialize(pack(df, id_col, vector, quantise(scale)), "packed")
     queries = rows.where(F.col("vec_id") % query_every == 0)
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     lanes = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))

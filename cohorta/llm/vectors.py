@@ -147,7 +147,7 @@ def stream_search(grouped: DataFrame, k: int, block: type[QueryBlock], step: int
 
 
 def merge_hits(hits: DataFrame, k: int) -> DataFrame:
-    """The k best of each query over all groups, with ``rank`` from 1; a candidate counts once."""
+    """The k best of each query id over all groups, with ``rank`` from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
