@@ -197,13 +197,14 @@ class SecretScanner:
         self.all = compile_rules([r.pattern for r in rules], anchored=False)
         self.ahead = [compile_rules([r.pattern], anchored=True) for r in rules]
         self.back = [compile_rules([r.pattern], anchored=True, backwards=True) for r in rules]
+        self.alone = [compile_rules([r.pattern], anchored=False) for r in rules]
         quiet = sum(1 for a in self.all.accepts if not a)
         self.loud = quiet * 256
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes: leftmost, longest, non-overlapping per rule."""
         table, loud, accepts = self.all.table, self.loud, self.all.accepts
-        free = [0] * len(self.rules)
+        free, wait = [0] * len(self.rules), [0] * len(self.rules)
         found = []
         state = self.all.start
         for at, byte in enumerate(data):
@@ -211,9 +212,11 @@ class SecretScanner:
             if state >= loud:
                 kinds = accepts[state >> 8]
                 for k in range(len(free)):
-                    if kinds >> k & 1 and at >= free[k]:
+                    if kinds >> k & 1 and at >= free[k] and at >= wait[k]:
                         start = self._start(k, data, free[k], at)
                         if start < 0:
+                            # What ends here began in the match before: go on where the rule alone accepts.
+                            wait[k] = self._next_end(k, data, free[k], at)
                             continue
                         end = self._end(k, data, start)
                         free[k] = end
@@ -234,6 +237,16 @@ class SecretScanner:
                 start = place
         return start
 
+    def _next_end(self, k: int, data: bytes, low: int, at: int) -> int:
+        """The first byte after ``at`` that ends a match which starts at ``low`` or later."""
+        dfa = self.alone[k]
+        state = dfa.start
+        for place in range(low, len(data)):
+            state = dfa.table[state + data[place]]
+            if place > at and dfa.accepts[state >> 8]:
+                return place
+        return len(data)
+
     def _end(self, k: int, data: bytes, start: int) -> int:
         """End of the longest match from ``start``."""
         dfa = self.ahead[k]
