@@ -91,21 +91,25 @@ def mix_sources(
     an order shuffled by ``key`` and ``seed``, ``block_rows`` to a block; sorting by
     ``position`` gives the mixture. No row is left out: as long as every source has
     blocks the mixture is less than one block off its targets at each slot; when a
-    source has ended its slots stay empty. Null is a source of its own. Rows with
-    equal or null keys follow a hash of their plain columns. An empty table
-    gives an empty one; input columns named like a result are replaced.
+    source has ended its slots stay empty. Null is a source of its own. The order also
+    takes in a hash of a row's plain columns, so rows with equal or null keys are
+    spread like others, and the same rows get the same places in every run. An empty table
+    gives an empty one; input columns named like a result are replaced, all others kept.
     """
     if block_rows < 1 or any(t < 1 for t in (targets or {}).values()):
         raise ValueError("block_rows and targets must be positive")
     spark = df.sparkSession
     kept = without(df, RESULTS)
     name = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1)
+    plain = F.xxhash64(*[F.col(f"`{c.name}`") for c in kept.schema.fields if isinstance(c.dataType, AtomicType)])
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), plain), 1)
     total = df.select(F.count(F.lit(1))).first()[0]
     # Pieces follow the shuffled order, so their number does not change the result.
     pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // WINDOW_ROWS))
     piece = F.least(F.floor(F.col("__order") / F.lit(2.0**63) * pieces), F.lit(pieces - 1))
-    named = kept.withColumn("__name", name).withColumn("__order", order).withColumn("__piece", piece)
+    # The row travels as one value, whatever its columns are called.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("__row")
+    named = df.select(row, name.alias("__name"), order.alias("__order"), F.col(key).alias("__key")).withColumn("__piece", piece)
     sizes = materialize(named.groupBy("__name", "__piece").agg(F.count(F.lit(1)).alias("__n")), "pieces")
     before = Window.partitionBy("__name").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__name", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -147,9 +151,7 @@ def mix_sources(
         "slots",
     )
 
-    # Rows with one key are told apart by their other columns, so the order does not change from run to run.
-    plain = [f"`{c.name}`" for c in kept.schema.fields if isinstance(c.dataType, AtomicType)]
-    rank = F.row_number().over(Window.partitionBy("__name", "__piece").orderBy("__order", key, F.xxhash64(*plain))) - 1
+    rank = F.row_number().over(Window.partitionBy("__name", "__piece").orderBy("__order", "__key")) - 1
     placed = (
         named.withColumn("__rank", rank)
         .join(spans, ["__name", "__piece"])
@@ -158,7 +160,7 @@ def mix_sources(
         .withColumn("__slot", F.expr("__slots[cast(block - __first as int)]"))
     )
     return placed.select(
-        *[F.col(f"`{c}`") for c in kept.columns],
+        "__row.*",
         F.col("block"),
         F.expr(f"block * {period}L DIV __units").alias("release"),
         F.expr(f"((block + 1) * {period}L + __units - 1) DIV __units").alias("deadline"),
