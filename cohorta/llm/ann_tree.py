@@ -43,17 +43,21 @@ class Tree:
             todo += [(c, rows[nearest == i]) for i, c in enumerate(self.children[node]) if (nearest == i).any()]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves by a queue of nodes, the greatest product with the centre first."""
+    def visit(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves by a queue of nodes, the greatest product with the centre first.
+
+        With the ``sizes`` of the leaves it goes on until those found hold ``least`` rows.
+        """
         near = self.centres @ _fitted(query[None, :], self.centres.shape[1])[0]
-        queue, found = [(-near[0], 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(-near[0], 0)], [], 0
+        while queue and (len(found) < most or (sizes is not None and held < least)):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for child in self.children[node]:
                     heapq.heappush(queue, (-near[child], child))
             else:
                 found.append(self.leaf[node])
+                held += 0 if sizes is None else int(sizes[self.leaf[node]])
         return found
 
 
@@ -136,6 +140,12 @@ def calibrate(tree: Tree, queries: list, truth: list, recall: float) -> int:
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
 
+def _drawn(rows: DataFrame, total: int, most: int) -> DataFrame:
+    """At most ``most`` rows, by a hash of the id: few partitions' rows reach the driver beyond them."""
+    share = int(min(1.0, 1.25 * most / max(total, 1)) * (1 << 32))
+    return rows.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 32)) < share).limit(most)
+
+
 def nearest_neighbours(
     df: DataFrame,
     k: int = 20,
@@ -148,22 +158,23 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by inner product.
 
-    The tree is grown on at most ``sample_rows`` vectors (those with the least hashed
+    The tree is grown on at most ``sample_rows`` vectors (drawn by a hash of their
     ids) and indexes all rows. How many leaves a query visits is measured: up to
     ``calibration_queries`` queries are compared with all rows, and the least number of
-    leaves that gives the wanted ``recall`` is used for all. Queries are rows whose id is
+    leaves that gives the wanted ``recall`` is used for all; a query goes on beyond it
+    until its leaves hold more rows than share an id and ``k``, so it has ``k`` neighbours
+    wherever there are as many candidates. Queries are rows whose id is
     divisible by ``query_every``; candidates are rows with another id; ties go to the
-    smaller id. Null, zero and unusable vectors and rows without an id take no part; of
-    rows that share an id the one least in (length, bytes) counts. Scores are inner
+    smaller id. Null, zero and unusable vectors and rows without an id take no part.
+    Rows that share an id are candidates of their own, and as queries share
+    their ``k`` rows: the nearest to any of them. Scores are inner
     products of the vectors in double precision; a group of equal vectors is spread over
     lanes. An empty table gives an empty one; other columns do not matter.
     """
-    packed = pack(df, id_col, vector).where("norm > 0")
-    rows = materialize(
-        packed.groupBy("vec_id").agg(F.min(F.struct("norm", "vec")).alias("r")).select("vec_id", "r.norm", "r.vec"), "packed"
-    )
-    shuffled = rows.orderBy(F.xxhash64("vec_id"), "vec_id")
-    tree = grow_tree(unpack([bytes(r["vec"]) for r in shuffled.limit(sample_rows).select("vec").collect()]))
+    rows = materialize(pack(df, id_col, vector).where("norm > 0"), "packed")
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("queries")).first()
+    sample = _drawn(rows, found["n"], sample_rows).select("vec").collect()
+    tree = grow_tree(unpack([bytes(r["vec"]) for r in sample]))
     shared = df.sparkSession.sparkContext.broadcast(tree)
 
     def assigning():
@@ -171,18 +182,27 @@ def nearest_neighbours(
 
     index = materialize(append_columns(rows, "vec", "leaf long", assigning, CANDIDATES), "index")
     queries = index.where(F.col("vec_id") % query_every == 0).drop("leaf")
-    tried = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(calibration_queries).select("vec_id", "vec").collect()
+    tried = _drawn(queries, found["queries"], calibration_queries).select("vec_id", "vec").collect()
     visits = calibrate(tree, tried, _true_neighbours(index, tried, k), recall)
 
-    def visiting():
-        return lambda vectors: [[shared.value.visit(np.frombuffer(v, "<f8"), visits) for v in vectors]]
-
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
     # One row per leaf of the tree, whose size is bounded by the sample.
     lanes = materialize(
-        index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LANE_ROWS)).cast("long").alias("lanes")), "lanes"
+        index.groupBy("leaf").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(LANE_ROWS)).cast("long").alias("lanes"), F.count(F.lit(1)).alias("n")
+        ),
+        "lanes",
     )
-    widest = lanes.agg(F.max("lanes")).first()[0] or 1
+    sizes, widest = np.zeros(tree.leaves, np.int64), 1
+    for leaf in lanes.collect():
+        sizes[leaf["leaf"]], widest = leaf["n"], max(widest, leaf["lanes"])
+    lanes = lanes.drop("n")
+    # The most rows of one id: as many of a query's own may lie in its leaves.
+    same = queries.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+
+    def visiting():
+        return lambda vectors: [[shared.value.visit(np.frombuffer(v, "<f8"), visits, sizes, k + same) for v in vectors]]
+
+    blocks = max(1, -(-found["queries"] // QUERY_ROWS))
     block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks))
 
     def group(block_col, lane_col):
