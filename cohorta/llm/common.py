@@ -24,6 +24,14 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def append_columns(
     df: DataFrame, column: str, fields: str, make: Callable[[], Compute], batch: int = BATCH_TEXTS
 ) -> DataFrame:

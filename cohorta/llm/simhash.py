@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import append_columns
+from cohorta.llm.common import append_columns, unused_name
 from cohorta.scratch import materialize
 
 SEED = 42
@@ -270,18 +270,22 @@ def keep_one(
         "kept",
     )
 
+    bits = unused_name(df, "bits")
+
     def own(rows: DataFrame) -> DataFrame:
         return append_columns(
-            rows, text, "__bits long", lambda: lambda texts: [[signed(fingerprint(t, shingle)) for t in texts]]
+            rows, text, f"{bits} long", lambda: lambda texts: [[signed(fingerprint(t, shingle)) for t in texts]]
         )
 
     # The chosen pairs are distinct and stored, and the rows of one pair are copies of one document.
+    keep, keep_bits = unused_name(df, "keep"), unused_name(df, "keep_bits")
+    chosen = chosen.select(F.col("__keep").alias(keep), F.col("__keep_bits").alias(keep_bits))
     rows = own(df)
-    same = (rows[f"`{id_col}`"] == chosen["__keep"]) & (rows["__bits"] == chosen["__keep_bits"])
-    named = rows.join(chosen, same, "left_semi").dropDuplicates([id_col, "__bits"]).drop("__bits")
-    if df.where(F.col(id_col).isNull()).isEmpty():
+    same = (rows[f"`{id_col}`"] == chosen[keep]) & (rows[bits] == chosen[keep_bits])
+    named = rows.join(chosen, same, "left_semi").dropDuplicates([id_col, bits]).drop(bits)
+    if df.where(F.col(f"`{id_col}`").isNull()).isEmpty():
         return named
-    nameless = own(df.where(F.col(id_col).isNull()))
-    lone = chosen.where("__keep IS NULL")
-    rest = nameless.join(lone, nameless["__bits"] == lone["__keep_bits"], "left_semi").dropDuplicates(["__bits"])
-    return named.unionByName(rest.drop("__bits"))
+    nameless = own(df.where(F.col(f"`{id_col}`").isNull()))
+    lone = chosen.where(F.col(keep).isNull())
+    rest = nameless.join(lone, nameless[bits] == lone[keep_bits], "left_semi").dropDuplicates([bits])
+    return named.unionByName(rest.drop(bits))
