@@ -105,6 +105,17 @@ def exact_places(line: str, phrase: str) -> list[int]:
     return places
 
 
+def beyond_words(line: str, start: int, end: int) -> int:
+    """Characters by which a span must grow to end where words do, on both sides."""
+    left = right = 0
+    if line[start] != " " and start:
+        left = start - (line.rfind(" ", 0, start) + 1)
+    if line[end - 1] != " " and end < len(line):
+        stop = line.find(" ", end)
+        right = (stop if stop >= 0 else len(line)) - end
+    return left + right
+
+
 def scan_texts(search: NoticeSearch, base: Sequence[Notice], texts: list) -> list[list]:
     out: list[list] = [[] for _ in range(8)]
     for text in texts:
@@ -115,6 +126,10 @@ def scan_texts(search: NoticeSearch, base: Sequence[Notice], texts: list) -> lis
         spans, best = [], 0.0
         for start, end, k, edits in search.spans(line):
             notice = search.notices[k]
+            # Letters of the same words around a match are edits, too: no notice inside longer words.
+            edits += beyond_words(line, start, end) if end > start else 0
+            if edits > notice.edits:
+                continue
             first = bisect_right(begins, start) - 1 + (line[start] == " ")
             last = bisect_right(begins, max(start, end - 1)) - (line[end - 1] == " ")
             spans.append((first, max(last, first + 1), notice.label, edits))
@@ -142,7 +157,8 @@ def scan_licenses(
     """Append licence findings to every row.
 
     ``n_base``, ``first_word`` and ``last_word`` count exact phrases; ``spans`` are
-    the fuzzy matches as word ranges with their edits. Null and empty texts have no
+    the fuzzy matches as word ranges with their edits, to which the letters count that
+    a match leaves over of its first and last word. Null and empty texts have no
     words, null first and last words, empty labels and score 0. Repeated phrases
     count at each place. Input columns named like a result are replaced.
     """

@@ -118,3 +118,18 @@ def test_secret_query_against_brute_force(spark, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
         assert set(want) <= set(filter(None, r["spans"].split(",")))
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("bathe mit licensed", "", 0.0), ("the mit license", "mit", 1.0), ("The MIT Licenses, v1", "mit", 1 - 1 / 15),
+        ("a he mit license b", "mit", 1 - 1 / 15), ("athe mit license", "mit", 1 - 1 / 15), ("unthe mit license", "", 0.0),
+        ("gnu generall public licence", "gpl", 1 - 2 / 26), ("", "", 0.0),
+    ],
+)
+def test_licences_end_where_words_do(spark, text, labels, score):
+    from cohorta.llm.license_scan import scan_licenses
+
+    row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["labels"], round(row["score"], 9)) == (labels, round(score, 9))
