@@ -19,6 +19,9 @@ UNKNOWN = "und"
 SPREADS, TENTH, GRAMS_OVERLAP = 6.0, 1.2816, 6
 # Characters hashed at once; longer texts go in overlapping windows.
 WINDOW = 1 << 20
+# Languages a task counts at once, and n-grams times languages weighed at once.
+OPEN_LANGUAGES = 64
+SCORE_CELLS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -93,32 +96,40 @@ def fit_language_model(
     dims: int = 1 << 14,
     orders: tuple[int, ...] = (1, 2, 3),
     smoothing: float = 0.5,
-    max_languages: int = 256,
+    max_languages: int = 2048,
 ) -> LanguageModel:
     """Learn from every row whose text and language are not null.
 
     Each task adds its texts up to one count per (language, bucket) before the
-    shuffle. The model holds ``dims`` numbers per language, so its size is known;
-    more than ``max_languages`` languages are an error. Texts without a letter add
+    shuffle, for ``OPEN_LANGUAGES`` languages at a time: beyond them it hands on what
+    it has and starts anew. The model holds ``dims`` numbers per language, so its size
+    is known; more than ``max_languages`` languages are an error. Texts without a letter add
     a document to the prior only. Without any row the model has no language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+
+        def added() -> Iterator[pa.RecordBatch]:
+            for name, row in totals.items():
+                ids = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(ids), pa.string()), pa.array(ids.astype(np.int32)), pa.array(row[ids])],
+                    names=["language", "bucket", "n"],
+                )
+            totals.clear()
+
         for batch in batches:
             for value, language in zip(batch.column(0), batch.column(1)):
                 name = language.as_py()
                 if name not in totals:
+                    if len(totals) == OPEN_LANGUAGES:
+                        yield from added()
                     totals[name] = np.zeros(dims + 1, np.int64)
                 ids, n = gram_counts(value.as_py(), dims, orders)
                 totals[name][ids] += n
                 totals[name][dims] += 1
-        for name, row in totals.items():
-            ids = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(ids), pa.string()), pa.array(ids.astype(np.int32)), pa.array(row[ids])],
-                names=["language", "bucket", "n"],
-            )
+        yield from added()
 
     known = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     sums = (
@@ -128,20 +139,23 @@ def fit_language_model(
         .groupBy("language")
         # dims + 1 numbers per language at most.
         .agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+        .select("language", F.col("counts.bucket").alias("buckets"), F.col("counts.n").alias("counts"))
     )
-    rows = sums.limit(max_languages + 1).collect()
-    if len(rows) > max_languages:
+    # Packed columns, at most twelve bytes for each number of the model.
+    rows = sums.limit(max_languages + 1).toArrow()
+    if rows.num_rows > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages")
-    rows.sort(key=lambda r: r["language"])
-    matrix = np.zeros((dims + 1, len(rows)))
-    for k, row in enumerate(rows):
-        for bucket, n in row["counts"]:
-            matrix[bucket, k] = n
+    names = rows.column("language").to_pylist()
+    matrix = np.zeros((dims + 1, len(names)))
+    order = sorted(range(len(names)), key=names.__getitem__)
+    buckets, counts = rows.column("buckets").combine_chunks(), rows.column("counts").combine_chunks()
+    for k, row in enumerate(order):
+        matrix[buckets[row].values.to_numpy(), k] = counts[row].values.to_numpy()
     grams = matrix[:dims] + smoothing
     return LanguageModel(
-        tuple(r["language"] for r in rows),
+        tuple(names[row] for row in order),
         np.log(matrix[dims] / max(1.0, matrix[dims].sum())),
-        np.log(grams / grams.sum(axis=0)) if rows else grams,
+        np.log(grams / grams.sum(axis=0)) if names else grams,
         orders,
     )
 
@@ -160,10 +174,18 @@ def _log_sums(model: LanguageModel, texts: list) -> tuple[list, np.ndarray, np.n
     if not rows:
         return rows, np.zeros((0, len(model.languages))), np.zeros(0), np.zeros(0)
     # The batch as a sparse matrix: row starts, buckets, counts.
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    counts = np.concatenate(counts)
-    weights = model.log_probs[np.concatenate(ids)] * counts[:, None]
-    return rows, np.add.reduceat(weights, starts, axis=0), np.add.reduceat(counts, starts), np.array(sizes)
+    ends = np.cumsum(sizes)
+    starts = np.concatenate(([0], ends[:-1]))
+    ids, counts = np.concatenate(ids), np.concatenate(counts)
+    # Whole texts at a time, so a text's sums do not depend on the others, of bounded n-grams times languages.
+    most, logs, first = SCORE_CELLS // len(model.languages), [], 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + most, "right")))
+        part = slice(starts[first], ends[last - 1])
+        weights = model.log_probs[ids[part]] * counts[part, None]
+        logs.append(np.add.reduceat(weights, starts[first:last] - starts[first], axis=0))
+        first = last
+    return rows, np.concatenate(logs), np.add.reduceat(counts, starts), np.array(sizes)
 
 
 def score_texts(model: LanguageModel, texts: list) -> tuple[list, list]:

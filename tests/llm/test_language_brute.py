@@ -5,6 +5,9 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+
+from cohorta.llm import lang_id
 from cohorta.llm import queries as Q
 
 DIMS = 1 << 14
@@ -70,3 +73,34 @@ def test_query_is_naive_bayes(spark, tmp_path):
         held, lang, score = want[r["doc_id"]]
         assert (r["held_out"], r["lang_pred"]) == (held, lang), r
         assert abs(r["score"] - score) < 1e-6
+
+
+def test_many_languages_in_bounded_memory(spark):
+    """More languages than a task counts at once, and batches weighed in parts, give the plain model."""
+    rng = random.Random(7)
+    letters = [chr(0x3B1 + k) for k in range(20)] + list("abcdefghij")
+    rows = []
+    for i in range(900):
+        lang = f"l{i % 300:03d}"
+        own = random.Random(lang).sample(letters, 6)
+        rows.append((i, " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(8)), lang))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    model = lang_id.fit_language_model(frame)
+    assert model.languages == tuple(sorted({r[2] for r in rows}))
+    counted = np.zeros((DIMS, 300))
+    for _, text, lang in rows:
+        for bucket, n in buckets(text).items():
+            counted[bucket, int(lang[1:])] += n
+    assert np.allclose(model.log_probs, np.log((counted + 0.5) / (counted + 0.5).sum(axis=0)), rtol=0, atol=1e-12)
+    assert np.allclose(model.priors, np.log(1 / 300))
+    texts = [r[1] for r in rows[:120]] + ["", "12", "a" * 3000]
+    whole = lang_id.score_texts(model, texts)
+    assert sum(p == r[2] for p, r in zip(whole[0], rows)) >= 110
+    for cells in (1, 300 * 50, 300 * 700):
+        with_cells, lang_id.SCORE_CELLS = lang_id.SCORE_CELLS, cells
+        try:
+            assert lang_id.score_texts(model, texts) == whole
+        finally:
+            lang_id.SCORE_CELLS = with_cells
+    with np.testing.assert_raises(ValueError):
+        lang_id.fit_language_model(frame, max_languages=299)
