@@ -133,7 +133,8 @@ def mix_sources(
     pattern = schedule(units.select("name", "units"), min(last, period), period, -(-period // least))
     pattern = materialize(pattern.join(units, "name").where("nth < blocks").select("name", "nth", "slot"), "pattern")
 
-    # The slots of a piece's blocks go as one array to its rows, which are not moved again.
+    # The slots of a piece's blocks go as one array to its rows, which are not moved again. What grows
+    # with the rows is met by shuffle and never broadcast.
     spans = offsets.join(sizes, ["__name", "__piece"]).join(units.toDF("__name", "__units", "__blocks"), "__name")
     spans = materialize(spans.withColumn("__first", F.expr(f"__before DIV {block_rows}")), "spans")
     each = spans.select(
@@ -141,20 +142,20 @@ def mix_sources(
         F.explode(F.expr(f"sequence(__first, (__before + __n - 1) DIV {block_rows})")).alias("__block"),
     ).withColumn("nth", F.expr("__block % __units"))
     listed_slots = (
-        each.join(pattern.withColumnRenamed("name", "__name"), ["__name", "nth"])
+        each.join(pattern.withColumnRenamed("name", "__name").hint("merge"), ["__name", "nth"])
         .groupBy("__name", "__piece")
         .agg(F.sort_array(F.collect_list(F.struct("__block", F.expr(f"__block DIV __units * {period}L + slot").alias("slot")))).alias("__at"))
         .select("__name", "__piece", F.col("__at.slot").alias("__slots"))
     )
     spans = materialize(
-        spans.join(listed_slots, ["__name", "__piece"]).select("__name", "__piece", "__before", "__first", "__units", "__slots"),
+        spans.join(listed_slots.hint("merge"), ["__name", "__piece"]).select("__name", "__piece", "__before", "__first", "__units", "__slots"),
         "slots",
     )
 
     rank = F.row_number().over(Window.partitionBy("__name", "__piece").orderBy("__order", "__key")) - 1
     placed = (
         named.withColumn("__rank", rank)
-        .join(spans, ["__name", "__piece"])
+        .join(spans.hint("merge"), ["__name", "__piece"])
         .withColumn("__at", F.col("__before") + F.col("__rank"))
         .withColumn("block", F.expr(f"__at DIV {block_rows}"))
         .withColumn("__slot", F.expr("__slots[cast(block - __first as int)]"))
