@@ -13,7 +13,7 @@ from cohorta.llm.common import table
 from cohorta.llm.exact_topk import exact_top_k
 from cohorta.llm.hard_negatives import mine_hard_negatives
 from cohorta.llm.lang_id import fit_language_model, identify_language
-from cohorta.llm.license_scan import scan_licenses
+from cohorta.llm.license_scan import Notice, scan_licenses
 from cohorta.llm.line_dedup import dedup_lines
 from cohorta.llm.mixing import mix_sources
 from cohorta.llm.secret_scan import RULES, scan_secrets
@@ -26,6 +26,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 24
 
+# The base phrases of the licence query, in whole words.
+LICENSE_PHRASES = (
+    Notice("under the mit license", "mit"),
+    Notice("apache license version 2", "apache-2"),
+    Notice("cc by nc", "cc-by-nc"),
+)
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -42,7 +49,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs, base=LICENSE_PHRASES).drop("text")
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
